@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import bpe, embeddings, packing, sharding, simhash, substring
 from .common import read_table, tune
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048, with_ids=False)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, as the law ``rows`` asks."""
     docs = read_table(spark, sf_dir, "documents")
@@ -25,9 +38,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=4, radius=4).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.parse(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op9_embeddings": op9_embeddings,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,8 +20,8 @@ from .common import materialise
 
 #: Rows of a virtual partition, and of a bucket inside a shard.
 ROWS_PER_PART = 20_000
-#: Half width, in standard deviations, of the support that a draw walks; beyond it lies less than 1e-30 of the mass.
-REACH = 12
+#: Half width, in standard deviations, of the support that a draw walks; beyond it lies less than a double resolves.
+REACH = 9
 
 
 def _uniform(*keys: Column) -> Column:
@@ -41,30 +41,33 @@ def hypergeometric(draws: Column, good: Column, total: Column, u: Column) -> Col
     reach = (F.lit(REACH) * sd).cast("long") + 12
     low, high = F.greatest(lo, mode - reach).cast("long"), F.least(hi, mode + reach).cast("long")
 
-    def walk(ks: Column, ratio) -> Column:
-        start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<struct<k:bigint,w:double>>").alias("all"))
+    def walk(ks: Column, ratio, before: Column, goal: Column) -> Column:
+        """(sum of ``before`` and the weights at ``ks``, first of ``ks`` at which it reaches ``goal``)."""
+        start = F.struct(F.lit(1.0).alias("w"), before.alias("sum"), F.lit(None).cast("bigint").alias("k"))
 
         def step(acc: Column, k: Column) -> Column:
             w = acc["w"] * ratio(k.cast("double"))
-            return F.struct(w.alias("w"), F.array_append(acc["all"], F.struct(k.cast("long").alias("k"), w.alias("w"))).alias("all"))
+            return F.struct(w.alias("w"), (acc["sum"] + w).alias("sum"), F.coalesce(acc["k"], F.when(acc["sum"] + w >= goal, k.cast("bigint"))).alias("k"))
 
-        return F.aggregate(ks, start, step, lambda acc: acc["all"])
+        return F.aggregate(ks, start, step, lambda acc: F.struct(acc["sum"].alias("sum"), acc["k"].alias("k")))
 
     none = F.array().cast("array<bigint>")
     m = mode.cast("long")
     up = F.when(high > m, F.sequence(m + 1, high)).otherwise(none)
     down = F.when(low < m, F.sequence(m - 1, low, F.lit(-1).cast("long"))).otherwise(none)
-    ups = walk(up, lambda k: (g - k + 1) * (n - k + 1) / (k * (t - g - n + k)))
-    downs = walk(down, lambda k: (k + 1) * (t - g - n + k + 1) / ((g - k) * (n - k)))
-    weights = F.concat(F.reverse(downs), F.array(F.struct(m.alias("k"), F.lit(1.0).alias("w"))), ups)
+    rise = lambda k: (g - k + 1) * (n - k + 1) / (k * (t - g - n + k))
+    fall = lambda k: (k + 1) * (t - g - n + k + 1) / ((g - k) * (n - k))
 
-    def pick(ws: Column) -> Column:
-        goal = u * F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"])
-        first = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("k"))
-        out = F.aggregate(ws, first, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), F.coalesce(a["k"], F.when(a["sum"] + x["w"] >= goal, x["k"])).alias("k")), lambda a: a["k"])
-        return F.coalesce(out, F.element_at(ws, -1)["k"])
+    def draw(total: Column) -> Column:
+        """From the mode up, then from the mode down: any fixed order of the support will do for inversion."""
+        goal = u * total
+        over = walk(up, rise, F.lit(1.0), goal)
+        under = walk(down, fall, over["sum"], goal)
+        return F.when(goal <= 1, m).otherwise(F.coalesce(over["k"], under["k"], m))
 
-    return F.aggregate(F.array(weights), F.lit(0).cast("bigint"), lambda _, ws: pick(ws))
+    never = F.lit(float("inf"))
+    total = walk(down, fall, walk(up, rise, F.lit(1.0), never)["sum"], never)["sum"]
+    return F.aggregate(F.array(total), F.lit(0).cast("bigint"), lambda _, x: draw(x))
 
 
 def communication_matrix(df: DataFrame, rows: str, columns: str, key: str, seed: int) -> DataFrame:
@@ -113,7 +116,8 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, rows_per_part: int = ROWS
     top = materialise(top.select(F.explode("matrix").alias("m")).select(F.col("m.p").alias("g"), F.col("m.to").alias("cols")), "matrix")
     entry = F.struct(F.col("p").cast("bigint").alias("p"), F.col("n").cast("bigint").alias("n"))
     low = counts.groupBy("g").agg(F.array_sort(F.collect_list(entry)).alias("rows")).join(top, "g")
-    low = communication_matrix(low.select(F.col("g").alias("key"), "rows", "cols"), "rows", "cols", "key", seed + 3)
+    low = low.select(F.col("g").alias("key"), "rows", "cols").repartition(groups, "key")  # small rows, long draws: not to be coalesced
+    low = communication_matrix(low, "rows", "cols", "key", seed + 3)
     ends = F.aggregate(F.col("m.to"), F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint"))))
     cuts = materialise(low.select(F.explode("matrix").alias("m")).select(F.col("m.p").alias("p"), ends.alias("ends")), "cuts")
 
