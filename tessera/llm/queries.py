@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, sharding, simhash, substring
+from . import bpe, embeddings, jpeg, packing, pii, sharding, simhash, substring, toxicity, urls
 from .common import read_table, tune
 
 
@@ -18,6 +18,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +45,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=4, radius=4).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(F.encode(joined("base"), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+#: The rules that judge urls, by host and path.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jpeg.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
@@ -50,12 +79,8 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-    "op3_packing": op3_packing,
-    "op4_sharding": op4_sharding,
-    "op5_simhash": op5_simhash,
-    "op9_embeddings": op9_embeddings,
-    "op10_substring": op10_substring,
+    f.__name__: f
+    for f in (op1_bpe, op2_toxicity, op3_packing, op4_sharding, op5_simhash, op6_pii, op7_urls, op8_jpeg, op9_embeddings, op10_substring)
 }
 
 ORACLE_SQL: dict[str, str] = {}

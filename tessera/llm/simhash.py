@@ -57,10 +57,14 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
-    """(64, words) with bit i of word w of plane p = bit p of fingerprint 64 w + i; one word of zeros is added."""
+    """(bits, words) with bit i of word w of plane p = bit p of fingerprint 64 w + i; one word of zeros is added.
+
+    ``fp``: (n,) or, for fingerprints of several machine words, (n, words).
+    """
     n = len(fp)
-    bits = np.zeros((64, (n // 64 + 2) * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    own = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, 8 * (fp.shape[1] if fp.ndim > 1 else 1)), axis=1, bitorder="little").T
+    bits = np.zeros((len(own), (n // 64 + 2) * 64), np.uint8)
+    bits[:, :n] = own
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -94,10 +98,10 @@ class Counter:
         self.digits, self.over = [d[..., where] for d in self.digits], self.over[..., where]
 
 
-def _near(take, shape_words: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words (of ``shape_words``) and their lanes within the radius; ``take(p, words)`` gives differing bits."""
-    words, counter = shape_words, Counter(valid.shape, radius)
-    for p in range(64):
+def _near(take, n_planes: int, words: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``words`` with lanes within the radius, and the lanes; ``take(p, words)`` gives differing bits."""
+    counter = Counter(valid.shape, radius)
+    for p in range(n_planes):
         counter.add(take(p, words))
         if p % 8 == 7:
             alive = valid & ~counter.exceeds()
@@ -159,7 +163,7 @@ def links_in_runs(run: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[in
             row = planes[p]
             return row[w] ^ ((row[w] >> np.uint64(s)) | (row[np.minimum(w + 1, last)] << np.uint64(64 - s)))
 
-        lanes = _lanes(*_near(take, words, valid[words], radius))
+        lanes = _lanes(*_near(take, len(planes), words, valid[words], radius))
         meet(lanes, lanes + s)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     ends = np.r_[starts[1:], n]
@@ -178,12 +182,13 @@ def links_in_runs(run: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[in
         full = np.packbits(mask, bitorder="little").view(np.uint64)
         for at in range(0, len(ask), step := max(1, (1 << 15) // width)):
             q = ask[at : at + step]
-            flip = ((fp[a + q][None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)) * _ONES
+            asked = np.ascontiguousarray(fp[a + q]).view(np.uint8).reshape(len(q), -1)
+            flip = np.unpackbits(asked, axis=1, bitorder="little").T.astype(np.uint64) * _ONES
 
             def take(p: int, w: np.ndarray, flip: np.ndarray = flip, own: np.ndarray = own) -> np.ndarray:
                 return own[p][w][None, :] ^ flip[p][:, None]
 
-            words, bits = _near(take, np.arange(width), np.repeat(full[None, :], len(q), 0), radius)
+            words, bits = _near(take, len(own), np.arange(width), np.repeat(full[None, :], len(q), 0), radius)
             for i in np.flatnonzero(bits.any(axis=1)).tolist():
                 on = bits[i] != 0
                 lanes = _lanes(words[on], bits[i][on])

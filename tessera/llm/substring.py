@@ -64,7 +64,7 @@ class Block:
     """Word hashes of a block's documents, one after the other."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int, keep_words: bool = False):
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        ids = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).cast(pa.int64())
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = np.where(self.null, LAST, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
         self.words: list[list[bytes]] = []
@@ -116,11 +116,11 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([*parts, np.zeros(0, kind)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def _send_anchors(window: int, shards: int):
+def _send_anchors(window: int, shards: int, id_col: str, text_col: str):
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("more", pa.binary())])
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        b = Block(docs["doc_id_"], docs["text_"], window)
+        b = Block(docs[id_col], docs[text_col], window)
         a, row = b.anchors(), b.row
         new = np.r_[True, (a[1:] != a[:-1]) | (row[1:] != row[:-1])][: len(a)]
         a, row = a[new], row[new]
@@ -155,13 +155,13 @@ def _firsts(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return order[np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]]
 
 
-def _send_windows(window: int, shards: int, window_shards: int):
+def _send_windows(window: int, shards: int, window_shards: int, id_col: str, text_col: str):
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        b = Block(docs["doc_id_"], docs["text_"], window)
+        b = Block(docs[id_col], docs[text_col], window)
         short, row = _joined(shared["a"], np.uint32)
         known = np.sort((shared["shard"].to_numpy()[row] << 32 | short.astype(np.int64)) if len(row) else np.zeros(0, np.int64))
         shard, short = _cut(b.anchors(), shards)
@@ -205,11 +205,11 @@ def factors(window: int, dup: np.ndarray, doc: np.ndarray, at: np.ndarray) -> li
     return list(zip(a.tolist(), (b + window).tolist(), doc[a].tolist(), at[a].tolist(), strict=True))
 
 
-def _parse(window: int, window_shards: int, names: list[str], schema: pa.Schema):
+def _parse(window: int, window_shards: int, names: list[str], schema: pa.Schema, id_col: str, text_col: str):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, places: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        b = Block(docs["doc_id_"], docs["text_"], window, keep_words=True)
+        b = Block(docs[id_col], docs[text_col], window, keep_words=True)
         ha, hb = b.windows()
         ids, at = b.ids[b.row], b.at - b.first[b.row]
         # The first place inside the block, then that in other blocks where it is earlier.
@@ -264,18 +264,18 @@ def parse(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql import types as T
 
-    new = ("n_words", "n_removed", "kept", "factors", "block_", "doc_id_", "text_")
+    new = ("n_words", "n_removed", "kept", "factors", "block_")
     own = [c for c in docs.columns if c.lower() not in new]
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     shards = max(1, -(-size // (32 * SHARD_ENTRIES)))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(id_col).cast("long").alias("doc_id_"), F.col(text_col).alias("text_"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block_"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block_"))
     dealt = lambda: rows.groupBy("block_")  # noqa: E731  the same exchange each time, so Spark reuses it
-    sent = dealt().applyInArrow(_send_anchors(window, shards), "shard long, block long, once binary, more binary")
+    sent = dealt().applyInArrow(_send_anchors(window, shards, id_col, text_col), "shard long, block long, once binary, more binary")
     answer = "block long, shard long, a binary, docs binary, at binary"
     shared = sent.groupBy("shard").applyInArrow(_shared_anchors, answer)
-    sent = dealt().cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, shards, shards), "shard long, block long, h binary, docs binary, at binary")
+    sent = dealt().cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, shards, shards, id_col, text_col), "shard long, block long, h binary, docs binary, at binary")
     places = sent.groupBy("shard").applyInArrow(_first_places, answer)
     factor = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "source_id", "source_start")]))
     out = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("factors", factor)])
-    return dealt().cogroup(places.groupBy("block")).applyInArrow(_parse(window, shards, own, to_arrow_schema(out)), out)
+    return dealt().cogroup(places.groupBy("block")).applyInArrow(_parse(window, shards, own, to_arrow_schema(out), id_col, text_col), out)
