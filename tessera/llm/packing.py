@@ -9,61 +9,152 @@ So only a shard's last window has padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
-from .common import materialise, text_bytes
+from .common import materialise
+from .merges import PairTable, merge_rows
 
 #: Tokens of a shard, on average, and of a window.
 SHARD_TOKENS, WINDOW = 1 << 20, 2048
 K1, B = 1.2, 0.75
 
 
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indexes of ``counts[i]`` entries from ``starts[i]`` on, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _strings(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary array without nulls."""
+    _, offsets, data = a.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(a.type) else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    return at, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, so that words (split at ASCII white space) encode alone."""
+    """Ids of whole texts by a tokenizer that drops white space and case and splits letters, digits and the rest.
+
+    A batch is worked on as arrays: its distinct words (between ASCII white space, which encode alone) are cut into runs
+    as the tokenizer's pattern cuts them, the distinct runs are merged by the vocabulary's own table, and words and texts
+    are put together from these. Words with an apostrophe or with characters beyond ASCII that aren't plain letters go to the
+    tokenizer whole.
+    """
+
+    #: Bytes of the longest run that is merged in arrays.
+    LONGEST = 48
 
-    def __init__(self, spec: str, end_id: int, words: int = 250_000):
+    def __init__(self, spec: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        model = json.loads(spec)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        column = lambda f: np.array([vocabulary[f(p)] for p in pairs], np.int64)
+        self.table = PairTable(column(lambda p: p[0]), column(lambda p: p[1]), column(lambda p: p[0] + p[1]))
+        # Bytes as the printable characters that stand for them: those that are printable themselves, then the others in order.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+        self.inner = np.array([vocabulary[stand[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[stand[b] + suffix] for b in range(256)], np.int32)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.memo = Memo(words)
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        got = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                got[w] = x = np.array(e.ids, self.kind).tobytes()
-                if len(w) <= 64:
-                    self.memo.put(w, x)
-        return got
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Bytes of each text's ids and the closing one; only words not met before go to the tokenizer, a batch's at once."""
-        split = [t.split() for t in texts]
-        young, get = self.memo.young.get, self.memo.get
-        found = [[young(w) for w in words] for words in split]
-        fresh: dict[bytes, bytes | None] = {}
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        w = words[i]
-                        if w not in fresh:
-                            fresh[w] = get(w)
-        fresh |= self._learn([w for w, x in fresh.items() if x is None])
-        return [b"".join(ids if None not in ids else [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]) + self.end for words, ids in zip(split, found, strict=True)]
+        self.end = end_id
+        letter, digit = np.isin(np.arange(256), [*range(97, 123), *range(128, 256)]), np.isin(np.arange(256), range(48, 58))
+        self.classes = np.where(letter, 1, np.where(digit, 2, 3)).astype(np.uint8)
+
+    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _merge(self, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct runs: (all ids, start and count of each run's, whether its word must be encoded whole)."""
+        n = len(at) - 1
+        length, beyond = np.diff(at), np.r_[0, np.cumsum(data >= 128)]
+        # Small letters of Latin-1 are two bytes, C3 and 9F to BF without B7; they stand as they are.
+        after = np.r_[data[1:], 0]
+        good = (data < 128) | ((data == 0xC3) & (after >= 0x9F) & (after <= 0xBF) & (after != 0xB7)) | (np.r_[0, data[:-1]] == 0xC3)
+        odd = np.r_[0, np.cumsum(~good)]
+        bad, alone = np.zeros(n, bool), np.flatnonzero((length > self.LONGEST) & (beyond[at[1:]] == beyond[at[:-1]])).tolist()
+        for i in np.flatnonzero((odd[at[1:]] > odd[at[:-1]]) | ((length > self.LONGEST) & (beyond[at[1:]] > beyond[at[:-1]]))).tolist():
+            s = data[at[i] : at[i + 1]].tobytes().decode()
+            t = "".join(map(str.lower, unicodedata.normalize("NFC", s)))
+            if not s.isalpha() or not t.isalpha():
+                bad[i] = True
+            elif t != s or length[i] > self.LONGEST:
+                alone.append(i)
+        parts, starts, counts, total = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        left = ~bad
+        left[alone] = False
+        for size in np.unique(length[left]).tolist():
+            own = np.flatnonzero(left & (length == size))
+            for a in range(0, len(own), 1 << 16):
+                some = own[a : a + (1 << 16)]
+                raw = data[at[some][:, None] + np.arange(size)]
+                ids = self.inner[raw]
+                ids[:, -1] = self.last[raw[:, -1]]
+                for rows, final in merge_rows(ids, self.table):
+                    width = final.shape[1]
+                    starts[some[rows]], counts[some[rows]] = total + np.arange(len(rows)) * width, width
+                    parts.append(final.ravel())
+                    total += final.size
+        for i, ids in zip(alone, self._whole([data[at[i] : at[i + 1]].tobytes() for i in alone]), strict=True):
+            starts[i], counts[i] = total, len(ids)
+            parts.append(ids)
+            total += len(ids)
+        return np.concatenate([*parts, np.zeros(0, np.int32)]), starts, counts, bad
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, start and count of each word's)."""
+        at, data = _strings(words)
+        n = len(words)
+        data = data[at[0] : at[-1]]
+        at = at - at[0]
+        kind = self.classes[data]
+        new = np.r_[True, kind[1:] != kind[:-1]][: len(data)] | (kind == 2)
+        new[at[:-1][at[:-1] < at[1:]]] = True
+        first = np.flatnonzero(new)
+        word = np.searchsorted(at, first, side="right") - 1
+        ends = np.r_[first, len(data)].astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        ids, starts, counts, bad = self._merge(*_strings(runs.dictionary))
+        run = runs.indices.to_numpy()
+        whole = np.zeros(n, bool)
+        whole[word[bad[run]]] = True
+        whole[np.searchsorted(at, np.flatnonzero(data == 39), side="right") - 1] = True
+        run_counts = np.where(whole[word], 0, counts[run])
+        out, total = [ids[_ragged(starts[run], run_counts)]], np.bincount(word, run_counts, n).astype(np.int64)
+        begin = np.cumsum(total) - total
+        end, some = int(total.sum()), np.flatnonzero(whole).tolist()
+        for i, x in zip(some, self._whole([data[at[i] : at[i + 1]].tobytes() for i in some]), strict=True):
+            begin[i], total[i] = end, len(x)
+            out.append(x)
+            end += len(x)
+        return np.concatenate(out), begin, total
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the closing one of each, offsets)."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).cast(pa.binary()).dictionary_encode()
+        ends = ends - ends[0]
+        ids, starts, counts = self._words(coded.dictionary)
+        ids, starts, counts = np.r_[ids, self.end], np.r_[starts, len(ids)], np.r_[counts, 1]
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), ends[1:], len(starts) - 1)
+        size = counts[word]
+        offsets = np.r_[0, np.cumsum(size)][np.r_[0, ends[1:] + np.arange(1, len(ends))]]
+        return ids[_ragged(starts[word], size)].astype(self.kind), offsets
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -85,9 +176,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             enc = _encoder(key, spec)
-            ids = enc.encode(list(text_bytes(b.column(1))))
-            width = np.dtype(enc.kind).itemsize
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids, offsets = enc.encode(b.column(1))
+            ends = (offsets * ids.itemsize).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), held], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

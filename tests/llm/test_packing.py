@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -23,10 +24,17 @@ def samples(n=300):
 
 
 def test_encoder_is_exact():
-    enc = packing.WordEncoder(open(PATH, encoding="utf-8").read(), 1, 50)
-    texts = samples(60)
-    got = enc.encode([(t or "").encode() for t in texts])
-    assert [np.frombuffer(x, enc.kind).tolist() for x in got] == reference(texts)
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzthenadioéèñüß"
+    texts = samples(60) + [" ".join("".join(rng.choices(letters, k=rng.randint(1, 60))) + rng.choice(("", ".", ",", "'s", "!?", "…")) for _ in range(200)) for _ in range(40)]
+    enc = packing.WordEncoder(open(PATH, encoding="utf-8").read(), 1)
+    for size in (1, 7, 1000):
+        for at in range(0, len(texts), size):
+            some = texts[at : at + size]
+            ids, offsets = enc.encode(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == reference(some)
+    ids, offsets = enc.encode(pa.array([], pa.string()))
+    assert len(ids) == 0 and offsets.tolist() == [0]
 
 
 def check(rows, want, window):
