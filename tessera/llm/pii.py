@@ -127,22 +127,22 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> dict[str, int]:
     """Accepted patterns with the number of their kind."""
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(_edges, "pattern string, instance string, kind int")
-    edges = materialise(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "edges")
-    total = edges.agg(F.sum("n")).first()[0] or 0
-    known = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"s{k}") for k in range(len(KINDS))]
+    edges = materialise(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
     names = [f"s{k}" for k in range(len(KINDS))]
-    seeds = edges.groupBy("instance").agg(F.max("kind").alias("kind")).select("instance", "kind", *known)
-    score = materialise(seeds, "scores")
+    open_ = F.col("kind") < 0
+    # Seeds keep their scores, so of them each pattern needs only the sums; patterns without an open instance mark nothing.
+    sums = [F.sum((F.col("kind") == k).cast("double")).alias(f"base{k}") for k in range(len(KINDS))]
+    base = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.max(open_).alias("open"), *sums).where("open").drop("open")
+    total = edges.agg(F.sum("n")).first()[0] or 0
+    graph = materialise(edges.where(open_).select("pattern", "instance").join(base, "pattern"), "graph")
+    # A mean over one more instance of score zero, so that few instances don't make a sure pattern.
+    pattern = materialise(graph.groupBy("pattern").agg(F.first("m").alias("m"), F.first("n").alias("n"), *[(F.first(f"base{k}") / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)]), "patterns")
     for _ in range(rounds):
-        # A mean over one more instance of score zero, so that few instances don't make a sure pattern.
-        pattern = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg(*[(F.sum(s) / (F.count("*") + 1)).alias(s) for s in names], F.count("*").alias("m"))
-        pattern = materialise(pattern, "patterns")
-        mean = edges.select("pattern", "instance").join(pattern.drop("m"), "pattern").groupBy("instance").agg(*[F.avg(s).alias(f"n{s}") for s in names])
-        fixed = [F.when(F.col("kind") >= 0, F.col(s)).otherwise(F.col(f"n{s}")).alias(s) for s in names]
-        score = materialise(score.join(mean, "instance").select("instance", "kind", *fixed), "scores")
-    held = edges.groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= max(float(support), SHARE * total))
+        mean = graph.select("pattern", "instance").join(pattern.select("pattern", *names), "pattern").groupBy("instance").agg(*[F.avg(s).alias(s) for s in names])
+        again = graph.join(mean, "instance").groupBy("pattern").agg(F.first("m").alias("m"), F.first("n").alias("n"), *[((F.first(f"base{k}") + F.sum(s)) / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)])
+        pattern = materialise(again, "patterns")
     best = F.greatest(*[F.col(s) for s in names])
-    sure = pattern.where((F.col("m") >= support) & (best >= confidence)).join(held.select("pattern"), "pattern", "left_semi")
+    sure = pattern.where((F.col("m") >= support) & (best >= confidence) & (F.col("n") >= max(float(support), SHARE * total)))
     kind = F.coalesce(*[F.when(F.col(s) == best, k) for k, s in enumerate(names)])
     return {r.pattern: r.kind for r in sure.select("pattern", kind.alias("kind")).orderBy("pattern").collect()}  # 1 / SHARE rows at most
 
