@@ -47,15 +47,16 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.scaled(windows(spark, sf_dir), "x", SIZE)
+    return features.scaled(windows(spark, sf_dir), "x", SIZE).persist()
 
 
 def near(spark: SparkSession, sf_dir: str, metric: str = "cosine", k: int = NEAR) -> DataFrame:
-    return graph.nearest(scaled(spark, sf_dir), "q", "tid", "x", k, metric)
+    """Kept, as graphs read it for several edge sets; to disk where it doesn't fit."""
+    return graph.nearest(scaled(spark, sf_dir), "q", "tid", "x", k, metric).persist()
 
 
 def edges(spark: SparkSession, sf_dir: str, metric: str = "cosine", mutual: bool = True) -> DataFrame:
-    return graph.weighted_knn(near(spark, sf_dir, metric), "q", NEAR, LEAST, mutual)
+    return graph.weighted_knn(near(spark, sf_dir, metric), "q", NEAR, LEAST, mutual).persist()
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:

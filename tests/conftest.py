@@ -11,7 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]").appName("tessera-tests")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("tessera-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
