@@ -145,7 +145,7 @@ class Vocabulary:
 class Codec:
     """Encodes and decodes with memos; one for each Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, units: int = 200_000, tokens: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, units: int = 500_000, tokens: int = 500_000):
         self.v = vocabulary
         pattern = vocabulary.pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(pattern).findall
