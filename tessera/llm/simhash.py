@@ -25,8 +25,9 @@ from .components import connected_components
 
 #: Fingerprints of one key that are compared in one group.
 HOT = 8192
-#: Shifts tried on all runs of a task at once, before long runs are taken one by one.
-SHIFTS = 8
+#: Shifts tried on all runs of a task at once at least, and machine words of lanes that more of them must be worth; what
+#: is left is taken run by run. Runs that have become one class drop out every so many shifts.
+SHIFTS, FEW = 8, 64
 _CHUNK = 1 << 16
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,24 +152,37 @@ def links_in_runs(run: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[in
 
     planes = bit_planes(fp)
     last = planes.shape[1] - 1
-    for s in range(1, SHIFTS + 1):
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[starts, n])
+    open_ = np.repeat(size > 1, size)  # lanes of runs that aren't one class yet
+    s = 0
+    while True:
+        s += 1
         pairs = np.zeros((last + 1) * 64, np.uint8)
-        pairs[: n - s] = run[: n - s] == run[s:] if s < n else 0
+        pairs[: max(0, n - s)] = (run[: n - s] == run[s:]) & open_[: n - s] if s < n else 0
         valid = np.packbits(pairs, bitorder="little").view(np.uint64)
         words = np.flatnonzero(valid)
         if not len(words):
             return found
+        if s > SHIFTS and len(words) < FEW:
+            break
 
-        def take(p: int, w: np.ndarray, s: int = s) -> np.ndarray:
+        def take(p: int, w: np.ndarray, far: int = s // 64, by: int = s % 64) -> np.ndarray:
             row = planes[p]
-            return row[w] ^ ((row[w] >> np.uint64(s)) | (row[np.minimum(w + 1, last)] << np.uint64(64 - s)))
+            x = row[np.minimum(w + far, last)]
+            if by:
+                x = (x >> np.uint64(by)) | (row[np.minimum(w + far + 1, last)] << np.uint64(64 - by))
+            return row[w] ^ x
 
         lanes = _lanes(*_near(take, len(planes), words, valid[words], radius))
         meet(lanes, lanes + s)
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    ends = np.r_[starts[1:], n]
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        if b - a <= SHIFTS + 1:
+        if s % SHIFTS == 0:
+            roots = np.fromiter((union.root(i) for i in range(n)), np.int64, n)
+            split = np.r_[0, np.cumsum(roots[1:] != roots[:-1])]
+            own = np.searchsorted(starts, np.arange(n), side="right") - 1
+            open_ &= (split[np.minimum(starts + size, n) - 1] != split[starts])[own]
+    for a, b in zip(starts.tolist(), (starts + size).tolist(), strict=True):
+        if b - a <= s or not open_[a]:  # all its shifts are done, or it is one class
             continue
         roots = np.fromiter((union.root(i) for i in range(a, b)), np.int64)
         names, counts = np.unique(roots, return_counts=True)
