@@ -66,3 +66,11 @@ def average_rank(over: WindowSpec) -> Column:
     """Rank in an ordered window, ties averaged."""
     ties = F.count("*").over(over.rangeBetween(0, 0))
     return F.rank().over(over) + (ties - 1) / 2.0
+
+
+def interpolate(c: Column, points: list[tuple[float, float]]) -> Column:
+    """Linear between the points (sorted by x), constant beyond them."""
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
+        out = F.when(c < x1, y0 + (y1 - y0) * (c - x0) / (x1 - x0)).otherwise(out)
+    return F.when(c.isNotNull(), F.when(c <= points[0][0], points[0][1]).otherwise(out))

@@ -39,3 +39,10 @@ def rank_intervals(df: DataFrame, key: str, replicate: str, value: str, sign: in
     """Median, least and largest place of each key over replicates."""
     w = Window.partitionBy(replicate).orderBy((F.col(value) * sign).desc())
     return df.select(key, F.rank().over(w).alias("r")).groupBy(key).agg(F.median("r").alias("median"), F.min("r").alias("best"), F.max("r").alias("worst"))
+
+
+def drawn_seeds(df: DataFrame, key: str, seed: str, replicates: int, salt: int) -> DataFrame:
+    """Of each key one of its seeds' rows, drawn by MD5, for each replicate ``r``."""
+    reps = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    h = F.md5(F.concat_ws("|", F.lit(str(salt)), F.col("r").cast("string"), F.col(key).cast("string"), F.col(seed).cast("string")))
+    return reps.withColumn("rn_", F.row_number().over(Window.partitionBy("r", key).orderBy(h, seed))).where("rn_ = 1").drop("rn_")

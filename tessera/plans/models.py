@@ -153,23 +153,26 @@ def cold_start_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = fix(features.partial_profile(B.complete(spark, sf_dir).where(F.col("q") >= F.add_months(F.lit(last), -3)), "tid", "total", B.PARTS))
     train = fix(full.where(F.col("q") == F.lit(last))).withColumnsRenamed({"tid": "near", "x": "y"})
     # Entities to assign are few beside those of the model; their distances go by the same blocks as the graphs'.
-    both = asked.withColumn("role", F.lit(0)).select(F.lit(0).alias("all_"), F.struct("role", "tid").alias("e"), "x").unionByName(train.select(F.lit(0).alias("all_"), F.struct(F.lit(1).alias("role"), F.col("near").alias("tid")).alias("e"), F.col("y").alias("x")))
-    found = _cross_nearest(both, 5)
+    found = cross_nearest(asked, train.select(F.col("near").alias("tid"), F.col("y").alias("x")), 5)
     at = B.types(spark, sf_dir).where(F.col("q") == F.lit(last)).select("tid", "ty")
     votes = found.join(at.withColumnsRenamed({"tid": "near", "ty": "guess"}), "near").groupBy("tid", "guess").agg(F.count("*").alias("votes"))
     best = votes.withColumn("rn", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("votes"), "guess"))).where("rn = 1").drop("rn")
     return best.join(at, "tid").select("tid", "guess", "votes", (F.col("guess") == F.col("ty")).alias("agrees"))
 
 
-def _cross_nearest(both: DataFrame, k: int) -> DataFrame:
+def cross_nearest(asked: DataFrame, known: DataFrame, k: int, metric: str = "euclid") -> DataFrame:
+    """(tid, near, d): the k nearest ``known`` (tid, x) of each of ``asked`` (tid, x), itself excluded, by pairs of blocks."""
     import numpy as np
     import pandas as pd
 
+    part = lambda df, role: df.select(F.lit(0).alias("all_"), F.struct(F.lit(role).alias("role"), "tid").alias("e"), "x")
+    both = part(asked, 0).unionByName(part(known, 1))
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = left[left.e.map(lambda e: e["role"]) == 0], right[right.e.map(lambda e: e["role"]) == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"tid": [], "near": [], "d": []})
-        d = np.round(graph._distances(np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy()), "euclid"), 12)
+        d = np.round(graph._distances(np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy()), metric), 12)
         s, t = np.array([e["tid"] for e in a.e]), np.array([e["tid"] for e in b.e])
         d[s[:, None] == t[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(t, d.shape), d), axis=1)[:, :k]
@@ -178,7 +181,7 @@ def _cross_nearest(both: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"tid": np.repeat(s, order.shape[1])[ok.ravel()], "near": t[order][ok], "d": kept[ok]})
 
     found = graph.block_pairs(both, "all_", "e", ["x"], run, "tid long, near long, d double")
-    return found.withColumn("rn", F.row_number().over(Window.partitionBy("tid").orderBy("d", "near"))).where(F.col("rn") <= k)
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("tid").orderBy("d", "near"))).where(F.col("rn") <= k).drop("rn", "all_")
 
 
 @query(

@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["window_level_clr"](spark, sf_dir)
 
 
-from tessera.plans import custom, dynamics, evaluation, models, panels  # noqa: E402, F401  they register their queries
+from tessera.plans import custom, dynamics, evaluation, extended, models, panels  # noqa: E402, F401  they register their queries

@@ -205,3 +205,42 @@ def test_threshold_tree_and_planted(spark):
     centers = {k: [2.0 if i == k else 0.0 for i in range(4)] for k in range(3)}
     tree = validation.threshold_tree(rows, "x", 4, "truth", centers, 19)
     assert len(tree) == 2 and sum(m for *_, m in tree) <= 12
+
+
+def test_within_effects_by_least_squares(spark):
+    from tessera.operators import dynamics
+
+    rng = np.random.default_rng(8)
+    n = 120
+    g, t, z = rng.integers(0, 5, n), rng.integers(0, 3, n), rng.standard_normal(n)
+    y = g + 0.8 * t + 0.5 * z + rng.standard_normal(n)
+    df = spark.createDataFrame([(int(i), int(a), int(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(g, t, z, y))], "id int, g int, t int, z double, y double")
+    r = dynamics.within_effects(df, "id", "y", "t", "g", ["z"], 19, 3).first()
+
+    def adjusted(*blocks):
+        x = np.column_stack([np.eye(5)[g], *blocks])
+        rss = ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+        return 1 - rss / (n - np.linalg.matrix_rank(x)) / (y.var() * n / (n - 1))
+
+    types = np.eye(3)[t][:, 1:]
+    assert r.gain == pytest.approx(adjusted(types) - adjusted()) and r.controlled == pytest.approx(adjusted(types, z) - adjusted(z))
+    assert 1 / 20 <= r.p <= 0.15
+
+
+def test_lifecycle_and_uncertainty(spark):
+    from tessera.operators import dynamics
+
+    rows = [(i, 0, 0 if i < 6 else 1) for i in range(10)] + [(i, 1, 0 if i < 3 else 2 if i < 6 else 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, q int, ty int")
+    got = {(r["from"], r.to): r.event for r in dynamics.lifecycle(df, "id", "q", "ty").collect()}
+    assert got == {(0, 0): "split", (0, 2): "split", (1, 1): "stays"}
+    u = {r.id: r for r in dynamics.uncertainty(df, "id", "ty").collect()}
+    assert u[0].modal == 0 and u[0].share == 1.0 and not u[0].borderline
+    assert u[4].modal == 0 and u[4].second == 2 and u[4].borderline
+
+
+def test_interpolation_ends(spark):
+    from tessera.functions import scalar
+
+    got = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 5.0, 10.0, 11.0, None)], "v double").select(scalar.interpolate(F.col("v"), [(0.0, 1.0), (10.0, 3.0)]).alias("y")).collect()
+    assert [r.y for r in got] == [1.0, 1.0, 2.0, 3.0, 3.0, None]
