@@ -121,8 +121,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     radius, bits, tables = settings(classes.count(), similarity)
     dealt = classes.select("cid", "fp").mapInArrow(_keys(bits, tables, WORDS, seed), "cid long, fp binary, keys array<bigint>").select("cid", "fp", F.explode("keys").alias("key"))
     dealt = materialise(dealt, "dealt")
-    groups = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    met = dealt.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
+    # Most keys hold several fingerprints but few hold very many: only these are looked up, and split into blocks.
+    crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    met = dealt.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o))
     met = met.select("key", F.explode(pair).alias("pair"), "cid", "fp")
     links = met.repartition("key", "pair").sortWithinPartitions("key", "pair", "cid").mapInArrow(_compare(radius, WORDS), "a long, b long")
