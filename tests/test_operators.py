@@ -163,7 +163,7 @@ def test_communities_and_rewiring(spark):
     assert indices.adjusted_rand(labels, "a", "b").first().ARI > 0.8
     assert indices.graph_vertex(e, labels, "id", "b").first().Q > 0.3
     layers = e.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2))))
-    both = partitions.multilayer(layers, "q", 0.5, 4).groupBy("node").agg(F.countDistinct("type").alias("n")).where("n > 1").count()
+    both = partitions.multilayer(layers, "q", 0.5).groupBy("node").agg(F.countDistinct("type").alias("n")).where("n > 1").count()
     assert both <= 3
     degree = {r.src: r.n for r in e.groupBy("src").agg(F.count("*").alias("n")).collect()}
     for rep in (1, 2):
