@@ -92,7 +92,8 @@ def risk_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[fl
 
 
 def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over the whole sample; ``rows`` are indexes of the features present."""
+    """Weights by Adam over the whole sample; ``rows`` are indexes of the features present. The bias stays at the log odds of the
+    prior, so a text without any known mark scores the prior, however few positives there are."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     w, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -100,7 +101,7 @@ def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, pr
     for t in range(1, steps + 1):
         z = np.bincount(at, w[feature], len(rows)) + w[-1]
         _, g = risk_gradient(z, positive, prior)
-        grad = np.r_[np.bincount(feature, g[at], n_features), g.sum()] + decay * np.r_[w[:-1], 0]
+        grad = np.r_[np.bincount(feature, g[at], n_features) + decay * w[:-1], 0.0]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -146,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
 
 
 def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over the whole sample; ``rows`` are indexes of the features present."""
+    """Weights by Adam over the whole sample; ``rows`` are indexes of the features present. The bias stays at the log odds of the
+    prior, so a text without any known mark scores the prior, however few positives there are."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     w, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -154,7 +156,7 @@ def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, pr
     for t in range(1, steps + 1):
         z = np.bincount(at, w[feature], len(rows)) + w[-1]
         _, g = risk_gradient(z, positive, prior)
-        grad = np.r_[np.bincount(feature, g[at], n_features), g.sum()] + decay * np.r_[w[:-1], 0]
+        grad = np.r_[np.bincount(feature, g[at], n_features) + decay * w[:-1], 0.0]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
