@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import features, graph, panel
+from tessera.sources.scratch import written
 
 CATEGORIES = {"ECONOMY": "p1", "LARGE": "p2", "MEDIUM": "p3", "PROMO": "p4", "SMALL": "p5", "STANDARD": "p6"}
 PARTS = list(CATEGORIES.values())
@@ -47,16 +48,16 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.scaled(windows(spark, sf_dir), "x", SIZE).persist()
+    """Written, as the steps after it read it several times and their plans shall stay short."""
+    return written(features.scaled(windows(spark, sf_dir), "x", SIZE), "scaled")
 
 
 def near(spark: SparkSession, sf_dir: str, metric: str = "cosine", k: int = NEAR) -> DataFrame:
-    """Kept, as graphs read it for several edge sets; to disk where it doesn't fit."""
-    return graph.nearest(scaled(spark, sf_dir), "q", "tid", "x", k, metric).persist()
+    return written(graph.nearest(scaled(spark, sf_dir), "q", "tid", "x", k, metric), "near")
 
 
 def edges(spark: SparkSession, sf_dir: str, metric: str = "cosine", mutual: bool = True) -> DataFrame:
-    return graph.weighted_knn(near(spark, sf_dir, metric), "q", NEAR, LEAST, mutual).persist()
+    return written(graph.weighted_knn(near(spark, sf_dir, metric), "q", NEAR, LEAST, mutual), "edges")
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:

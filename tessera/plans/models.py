@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import graph, model
+from tessera.sources.scratch import written
 
 from . import base as B
 from .registry import query
@@ -18,8 +19,8 @@ DAY = "CAST(q AS VARCHAR) AS q"
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """(tid, q, x, d) of pooled k-means on ``rows``, which are kept as they are read in every round."""
-    rows = rows.persist()
+    """(tid, q, x, d) of pooled k-means on ``rows``, which are written first, as every round reads them."""
+    rows = written(rows, "rows")
     centers = model.lloyd(rows, "x", B.SIZE, K, F.concat_ws("|", F.col("tid").cast("string"), F.date_format("q", "yyyy-MM-dd")))
     return model.center_distances(rows, "x", centers)
 
@@ -57,7 +58,7 @@ def viterbi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, q, d, type): smoothed features, pooled centres, penalised paths, codes by size in the last window."""
     rows = graph.smoothed(B.scaled(spark, sf_dir), B.edges(spark, sf_dir), "q", "tid", "x", B.SIZE)
-    d = fitted(rows)
+    d = written(fitted(rows), "distances")
     paths = model.viterbi(d, "tid", "q", model.switch_penalty(d, PENALTY), K).select("tid", "q", F.col("type").alias("old"), "type")
     return model.renumbered(paths, "q", "type", K).join(d.select("tid", "q", "d"), ["tid", "q"])
 
