@@ -138,12 +138,14 @@ class _Union:
         return True
 
 
-def links_in_runs(run: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links inside each run of equal ``run`` (sorted)."""
+def links_in_runs(run: np.ndarray, fp: np.ndarray, radius: int, joined: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links inside each run of equal ``run`` (sorted), beside those already ``joined``."""
     n, found = len(fp), []
     if n < 2:
         return found
     union = _Union(n)
+    for i, j in joined or ():
+        union.join(i, j)
 
     def meet(a: np.ndarray, b: np.ndarray) -> None:
         for i, j in zip(a.tolist(), b.tolist(), strict=True):

@@ -1,9 +1,10 @@
 """Near-duplicate texts at a shingle similarity, by SimHash fingerprints of several machine words.
 
-64 bits tell copies from others, but not a similarity of 0.8 from one of 0.6. Here a fingerprint has 256 bits, and two
-texts are near when their distance is what the similarity asks for, within a standard deviation. So wide a radius leaves no
-block surely equal; keys are sampled bits instead, as many as keep a bucket of unrelated texts small, in as many tables as
-give the recall asked for at the similarity itself. Inside a key the comparison is bit-sliced as for 64 bits.
+64 bits tell copies from others, but not a similarity of 0.8 from one of 0.6. Here a fingerprint has 256 bits and only
+finds candidates: pairs whose distance is within REACH of that of pairs at the similarity. So wide a radius leaves no block
+surely equal; keys are sampled bits instead, as many as keep a bucket of unrelated texts small, in as many tables as give
+the recall asked for, over both radius and keys, at the similarity itself. Inside a key the comparison is bit-sliced as for
+64 bits. A candidate is a link only where the sets of shingles themselves have the similarity.
 """
 
 from __future__ import annotations
@@ -22,16 +23,37 @@ from .components import connected_components
 from .simhash import _CHUNK, HOT, links_in_runs
 
 WORDS, BUCKET, RECALL = 4, 32.0, 0.95
+#: Share of the pairs at the similarity that the radius of candidates holds.
+REACH = 0.99
 
 
-def wide_fingerprint(text: bytes, k: int, words: int = WORDS) -> bytes:
-    """Majority bits over the XXH64 of each shingle and its mixes; zeros for a text without words."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of k words; one shingle for a shorter text, none for one without words."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(k)), strict=False)) if len(tokens) >= k else [b" ".join(tokens)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(s, 42) for s in shingles], np.uint64)
+    return np.unique(np.fromiter([digest(s, 42) for s in shingles], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have the Jaccard similarity; two empty ones have."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def wide_fingerprint(text: bytes, k: int, words: int = WORDS) -> bytes:
+    """Majority bits over the XXH64 of each distinct shingle and its mixes; zeros for a text without words."""
+    return _fingerprint(shingle_set(text, k), words)
+
+
+def _fingerprint(h: np.ndarray, words: int) -> bytes:
+    if not len(h):
+        return bytes(8 * words)
     counts = np.zeros((words, 64), np.int64)
     for j in range(words):
         if j:
@@ -51,12 +73,33 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _distances(similarity: float, size: int) -> np.ndarray:
+    """Chance of each distance at the similarity."""
+    p = agreement(similarity)
+    return np.array([math.comb(size, d) * (1 - p) ** d * p ** (size - d) for d in range(size + 1)])
+
+
+def reach(similarity: float, words: int = WORDS) -> int:
+    """Radius of candidates."""
+    return int(np.searchsorted(np.cumsum(_distances(similarity, 64 * words)), REACH))
+
+
+def recall(similarity: float, radius: int, bits: int, tables: int, words: int = WORDS) -> float:
+    """Chance that a pair at the similarity is within the radius and shares a key."""
+    size = 64 * words
+    meets = np.array([math.prod(max(0, size - d - i) / (size - i) for i in range(bits)) for d in range(radius + 1)])
+    return float((_distances(similarity, size)[: radius + 1] * (1 - (1 - meets) ** tables)).sum())
+
+
 def settings(n: int, similarity: float, words: int = WORDS) -> tuple[int, int, int]:
-    """(radius, bits of a key, tables) for n fingerprints."""
+    """(radius of likely links, bits of a key, tables) for n fingerprints; candidates reach further than likely links."""
     p, size = agreement(similarity), 64 * words
     radius = int(size * (1 - p) + math.sqrt(size * p * (1 - p)))
     bits = min(size, max(8, math.ceil(math.log2(max(2.0, n / BUCKET)))))
-    return radius, bits, math.ceil(math.log(1 - RECALL) / math.log(1 - p**bits))
+    far, tables = reach(similarity, words), 1
+    while recall(similarity, far, bits, tables, words) < RECALL:
+        tables += 1
+    return radius, bits, tables
 
 
 def _keys(bits: int, tables: int, words: int, seed: int):
@@ -75,59 +118,132 @@ def _keys(bits: int, tables: int, words: int, seed: int):
     return run
 
 
-def _compare(radius: int, words: int):
-    def links(key: np.ndarray, cid: np.ndarray, fp: list[bytes]) -> pa.RecordBatch:
+def _forest(likely: int, far: int):
+    """Candidates that span each run: likely links first, so that few of them fail."""
+
+    def pairs(run: np.ndarray, cid: np.ndarray, fp: np.ndarray, own: np.ndarray) -> np.ndarray:
+        found = links_in_runs(run, fp, likely)
+        return np.array(found + links_in_runs(run, fp, far, found), np.int64).reshape(-1, 2)
+
+    return pairs
+
+
+def _between(far: int):
+    """All candidates of each run whose ends have different components so far."""
+
+    def pairs(run: np.ndarray, cid: np.ndarray, fp: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = [np.zeros((0, 2), np.int64)]
+        ends = np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]
+        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for i in range(s, e - 1):
+                other = i + 1 + np.flatnonzero(own[i + 1 : e] != own[i])
+                near = other[np.bitwise_count(fp[other] ^ fp[i]).sum(axis=1, dtype=np.int64) <= far]
+                if len(near):
+                    out.append(np.stack([np.full(len(near), i), near], axis=1))
+        return np.concatenate(out)
+
+    return pairs
+
+
+def _compare(pairs, words: int):
+    def links(key: np.ndarray, cid: np.ndarray, own: np.ndarray, fp: list[bytes]) -> pa.RecordBatch:
         run = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
-        found = np.array(links_in_runs(run, np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), words), radius), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(cid[found[:, 0]]), pa.array(cid[found[:, 1]])], ["a", "b"])
+        found = cid[pairs(run, cid, np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), words), own)]
+        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cid, fp = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
+        key, cid, own, fp = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for b in batches:
             key = np.r_[key, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)]
-            cid = np.r_[cid, b.column(2).to_numpy()]
+            cid, own = np.r_[cid, b.column(2).to_numpy()], np.r_[own, b.column(4).to_numpy()]
             fp += b.column(3).to_pylist()
             if len(fp) < 1 << 16:
                 continue
             name = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
             if cut := int(np.searchsorted(name, name[-1])):
-                yield links(key[:cut], cid[:cut], fp[:cut])
-                key, cid, fp = key[cut:], cid[cut:], fp[cut:]
+                yield links(key[:cut], cid[:cut], own[:cut], fp[:cut])
+                key, cid, own, fp = key[cut:], cid[cut:], own[cut:], fp[cut:]
         if fp:
-            yield links(key, cid, fp)
+            yield links(key, cid, own, fp)
 
     return run
 
 
+def _candidates(classes: DataFrame, bits: int, tables: int, seed: int, hot: int, pairs) -> DataFrame:
+    """Distinct (a, b), a < b, of ``classes`` (cid, fp, own) that meet under a key."""
+    dealt = classes.select("cid", "fp").mapInArrow(_keys(bits, tables, WORDS, seed), "cid long, fp binary, keys array<bigint>").select("cid", "fp", F.explode("keys").alias("key"))
+    dealt = materialise(dealt, "dealt")
+    # Most keys hold several fingerprints but few hold very many: only these are looked up, and split into blocks.
+    crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    met = dealt.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o))
+    met = met.select("key", F.explode(pair).alias("pair"), "cid", "fp")
+    if "own" in classes.columns:
+        met = met.join(classes.select("cid", "own"), "cid")
+    else:
+        met = met.withColumn("own", F.col("cid"))
+    met = met.select("key", "pair", "cid", "fp", "own").repartition("key", "pair").sortWithinPartitions("key", "pair", "cid")
+    return met.mapInArrow(_compare(pairs, WORDS), "a long, b long").distinct()
+
+
+def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs whose texts (cid, text) have the similarity."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # pairs come sorted by one end, mostly
+        for b in batches:
+            ends = b.column(1).to_pylist()
+            keep = []
+            for end, x, y in zip(ends, text_bytes(b.column(2)), text_bytes(b.column(3)), strict=True):
+                if end != last:
+                    last, held = end, shingle_set(y, shingle)
+                keep.append(similar(shingle_set(x, shingle), held, similarity))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    met = found.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, seed: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, of which one of each near-duplicate group stays: that of the smallest id.
 
     Null ids come last, then the smallest hash decides. Null and empty texts are one group of copies. Repeated rows are
-    copies too. Groups are the components of the links, over which copies of copies fall together. An empty table gives
-    an empty table.
+    copies too. Groups are the components of the links, over which copies of copies fall together; every link has the
+    similarity. An empty table gives an empty table.
+
+    First each key gives pairs that span its candidates. Where all of them are links, the group is done; where some aren't,
+    all candidates between the parts are compared too, so no pair is judged by the estimate.
     """
     own = docs.columns
     ident = [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit(seed), id_col).alias("k2")]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([wide_fingerprint(t, shingle) for t in text_bytes(b.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fp], ["k1", "k2", "id", "fp"])
+            sets = [shingle_set(t, shingle) for t in text_bytes(b.column(3))]
+            fp = pa.array([_fingerprint(h, WORDS) for h in sets], pa.binary())
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fp, same], ["k1", "k2", "id", "fp", "same"])
 
     rows = docs.select(*ident, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(rows.mapInArrow(prints, "k1 long, k2 long, id long, fp binary"), "prints")
+    rows = materialise(rows.mapInArrow(prints, "k1 long, k2 long, id long, fp binary, same binary"), "prints")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    classes = materialise(rows.groupBy("fp").agg(F.min(who).alias("who")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    radius, bits, tables = settings(classes.count(), similarity)
-    dealt = classes.select("cid", "fp").mapInArrow(_keys(bits, tables, WORDS, seed), "cid long, fp binary, keys array<bigint>").select("cid", "fp", F.explode("keys").alias("key"))
-    dealt = materialise(dealt, "dealt")
-    # Most keys hold several fingerprints but few hold very many: only these are looked up, and split into blocks.
-    crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    met = dealt.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o))
-    met = met.select("key", F.explode(pair).alias("pair"), "cid", "fp")
-    links = met.repartition("key", "pair").sortWithinPartitions("key", "pair", "cid").mapInArrow(_compare(radius, WORDS), "a long, b long")
-    linked = connected_components(links)
+    # Equal sets of shingles are one class; different sets may share a fingerprint.
+    classes = materialise(rows.groupBy("fp", "same").agg(F.min(who).alias("who")).drop("same").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    likely, bits, tables = settings(classes.count(), similarity)
+    far = reach(similarity)
+    found = materialise(_candidates(classes, bits, tables, seed, hot, _forest(likely, far)), "candidates")
+    ends = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).distinct()
+    asked = classes.join(ends, "cid").select("cid", "who.k1", "who.k2")
+    texts = docs.select(*ident, F.col(text_col).alias("text")).join(asked, ["k1", "k2"]).groupBy("cid").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
+    links = materialise(_verified(found, texts, shingle, similarity), "verified")
+    whole = connected_components(found).select(F.col("node").alias("cid"), F.col("component").alias("within"))
+    parts = whole.join(connected_components(links), F.col("cid") == F.col("node"), "left").select("cid", "within", F.coalesce("component", "cid").alias("own"))
+    parts = materialise(parts, "parts")
+    broken = parts.groupBy("within").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("within")
+    open_ = materialise(classes.select("cid", "fp").join(parts.join(broken, "within").select("cid", "own"), "cid"), "open")
+    more = _candidates(open_, bits, tables, seed, hot, _between(far)).join(found, ["a", "b"], "left_anti")
+    linked = connected_components(links.unionByName(_verified(more, texts, shingle, similarity)))
     named = classes.join(linked, F.col("cid") == F.col("node"), "left").select(F.coalesce("component", "cid").alias("class"), "who")
     stays = materialise(named.groupBy("class").agg(F.min("who").alias("who")).select("who.k1", "who.k2", F.lit(True).alias("stays")), "stays")
     # What becomes of each row that does not simply stay: it goes, or one of several equal rows stays.

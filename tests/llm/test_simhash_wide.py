@@ -72,3 +72,41 @@ def test_one_of_each_group_stays(spark):
         assert got.columns == df.columns
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == want
     assert simhash_wide.one_of_each(df.limit(0)).count() == 0
+
+
+def test_links_have_the_similarity_and_are_found(spark):
+    """Two texts of shared and own words: (shared - 4) / (shared - 4 + 2 own) of their shingles are equal."""
+    rng = random.Random(8)
+    rows, sizes = [], {0.7: (424, 90), 0.75: (364, 60), 0.8: (404, 50)}
+    for similarity, (shared, own) in sizes.items():
+        for _ in range(150):
+            w = [f"w{rng.randrange(10**9)}" for _ in range(shared + 2 * own)]
+            a, b = " ".join(w[: shared + own]), " ".join(w[:shared] + w[shared + own :])
+            x, y = shingles(a), shingles(b)
+            assert len(x & y) / len(x | y) == similarity
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = {r.doc_id for r in simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    gone = [sum(i not in kept for i in range(at, at + 300)) for at in (0, 300, 600)]
+    assert gone[:2] == [0, 0] and gone[2] >= 138
+    for n in (10**3, 10**6, 10**8):
+        _, bits, tables = simhash_wide.settings(n, 0.8)
+        assert simhash_wide.recall(0.8, simhash_wide.reach(0.8), bits, tables) >= 0.95
+
+
+def test_links_that_no_spanning_pair_shows(spark):
+    """Versions of one text in a crowd, judged against all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        for _ in range(40):
+            at, n = rng.randrange(250), rng.randrange(10, 45)
+            rows.append((len(rows), " ".join(base[:at] + [f"x{rng.randrange(10**9)}" for _ in range(n)] + base[at + n :])))
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((up[i], up[j]))
+                up = [a if u == b else u for u in up]
+    got = {r.doc_id for r in simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(set(up) - got) == 0 and len(got - set(up)) <= 2
