@@ -4,7 +4,8 @@ Base matches are the seed entities. Each identifier-like stretch of text (an ins
 its shape after the word on its left, and its shape before the word on its right. Over all documents pattern and instances
 form a bipartite graph, scored by turns in Spark: a pattern by the mean of its instances, an instance by the mean of its
 patterns, seeds fixed at their kind. Patterns of enough distinct instances and confidence then mark instances that
-no base pattern takes. A pattern needs a fixed share of all occurrences, which bounds how many there can be.
+no base pattern takes. Neither bar depends on the size of the corpus, so accepted patterns stay a table, which meets the
+patterns of each text in a join.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SHAPE = re.compile(r"[0-9]+|[a-z]+|[A-Z]+")
-#: Instances: digits needed, longest. Patterns: distinct instances and confidence needed, share of all occurrences, rounds.
-DIGITS, LONGEST, SUPPORT, CONFIDENCE, SHARE, ROUNDS = 6, 64, 3, 0.6, 1e-4, 3
+#: Instances: digits needed, longest. Patterns: distinct instances and confidence needed, rounds.
+DIGITS, LONGEST, SUPPORT, CONFIDENCE, ROUNDS = 6, 64, 3, 0.6, 3
 
 
 def luhn(digits: str) -> bool:
@@ -124,27 +125,52 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["pattern", "instance", "kind"])
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> dict[str, int]:
-    """Accepted patterns with the number of their kind."""
+def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind): accepted patterns with the number of their kind."""
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(_edges, "pattern string, instance string, kind int")
-    edges = materialise(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
+    edges = materialise(seen.distinct(), "edges")
     names = [f"s{k}" for k in range(len(KINDS))]
     open_ = F.col("kind") < 0
     # Seeds keep their scores, so of them each pattern needs only the sums; patterns without an open instance mark nothing.
     sums = [F.sum((F.col("kind") == k).cast("double")).alias(f"base{k}") for k in range(len(KINDS))]
-    base = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.max(open_).alias("open"), *sums).where("open").drop("open")
-    total = edges.agg(F.sum("n")).first()[0] or 0
+    base = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.max(open_).alias("open"), *sums).where("open").drop("open")
     graph = materialise(edges.where(open_).select("pattern", "instance").join(base, "pattern"), "graph")
     # A mean over one more instance of score zero, so that few instances don't make a sure pattern.
-    pattern = materialise(graph.groupBy("pattern").agg(F.first("m").alias("m"), F.first("n").alias("n"), *[(F.first(f"base{k}") / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)]), "patterns")
+    pattern = materialise(graph.groupBy("pattern").agg(F.first("m").alias("m"), *[(F.first(f"base{k}") / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)]), "patterns")
     for _ in range(rounds):
         mean = graph.select("pattern", "instance").join(pattern.select("pattern", *names), "pattern").groupBy("instance").agg(*[F.avg(s).alias(s) for s in names])
-        again = graph.join(mean, "instance").groupBy("pattern").agg(F.first("m").alias("m"), F.first("n").alias("n"), *[((F.first(f"base{k}") + F.sum(s)) / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)])
+        again = graph.join(mean, "instance").groupBy("pattern").agg(F.first("m").alias("m"), *[((F.first(f"base{k}") + F.sum(s)) / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)])
         pattern = materialise(again, "patterns")
     best = F.greatest(*[F.col(s) for s in names])
-    sure = pattern.where((F.col("m") >= support) & (best >= confidence) & (F.col("n") >= max(float(support), SHARE * total)))
+    sure = pattern.where((F.col("m") >= support) & (best >= confidence))
     kind = F.coalesce(*[F.when(F.col(s) == best, k) for k, s in enumerate(names)])
-    return {r.pattern: r.kind for r in sure.select("pattern", kind.alias("kind")).orderBy("pattern").collect()}  # 1 / SHARE rows at most
+    return materialise(sure.select("pattern", kind.alias("kind")), "accepted")
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns of the instances apart from base spans, beside the hashes of their text."""
+    for b in batches:
+        rows = []
+        for k1, k2, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            rows += [(k1, k2, p) for p in {p for _, _, k, *both in instances(t, base_spans(t)) if k < 0 for p in both}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["k1", "k2", "pattern"])
+
+
+def _with_patterns(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """(r: the row, found: accepted patterns that its text holds, as entries or null). Texts without a digit hold none and don't move."""
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text_col}`")
+    digit = F.coalesce(text.rlike("[0-9]"), F.lit(False))
+    keyed = docs.where(digit).select(row, F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"))
+    asked = keyed.select("k1", "k2", F.col("r").getField(text_col).alias("text")).mapInArrow(_asked, "k1 long, k2 long, pattern string").distinct()
+    found = asked.join(patterns, "pattern").groupBy("k1", "k2").agg(F.collect_list(F.struct("pattern", "kind")).alias("found"))
+    found = materialise(found, "found")
+    none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
+    return keyed.join(found, ["k1", "k2"], "left").select("r", "found").unionByName(docs.where(~digit).select(row, none))
+
+
+def _held(column: pa.Array) -> Iterator[dict[str, int]]:
+    for entries in column.to_pylist():
+        yield {e["pattern"]: e["kind"] for e in entries or ()}
 
 
 def spans(text: str, patterns: dict[str, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -166,35 +192,37 @@ def _structs(found: list[tuple[int, int, int]]) -> list[dict]:
     return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: dict[str, int] | None = None) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: DataFrame | None = None) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end) in code points, end exclusive, by start, then kind.
 
     ``base`` holds the matches of the fixed patterns, ``spans`` also what the learnt contexts add (learnt here from all rows, unless
     given). Null and empty texts have none; repeated rows are judged alike; an empty table gives an empty table.
     """
-    learnt = learn_patterns(docs, text_col) if patterns is None else patterns
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    met = _with_patterns(texts, "text", learn_patterns(docs, text_col) if patterns is None else patterns)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [spans(t or "", learnt) for t in b.column(1).to_pylist()]
+            got = [spans(t or "", held) for t, held in zip(b.column(1).to_pylist(), _held(b.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([_structs(g[i]) for g in got], kind) for i in (0, 1)]], ["doc_id", "base", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {_SPANS}, spans {_SPANS}")
+    return met.select("r.doc_id", "r.text", "found").mapInArrow(run, f"doc_id long, base {_SPANS}, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with each span of the text replaced by its kind in brackets, and the size brought up to date."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    learnt, schema = learn_patterns(docs, text_col), to_arrow_schema(docs.schema)
+    schema = to_arrow_schema(docs.schema)
+    met = _with_patterns(docs, text_col, learn_patterns(docs, text_col))
     text_at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
-    def clean(t: str | None) -> str | None:
+    def clean(t: str | None, held: dict[str, int]) -> str | None:
         if not t:
             return t
         out, at = [], 0
-        for a, k, b in spans(t, learnt)[1]:
+        for a, k, b in spans(t, held)[1]:
             if a >= at:
                 out += [t[at:a], f"[{KINDS[k].upper()}]"]
             at = max(at, b)
@@ -202,12 +230,12 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols, old = list(b.columns), b.column(text_at).to_pylist()
-            new = [clean(t) for t in old]
+            cols, old = b.column(0).flatten(), b.column(0).field(text_at).to_pylist()
+            new = [clean(t, held) for t, held in zip(old, _held(b.column(1)), strict=True)]
             cols[text_at] = pa.array(new, schema.field(text_at).type)
             if size_at is not None:
                 sizes = [len(y) if x != y else z for x, y, z in zip(old, new, cols[size_at].to_pylist(), strict=True)]
                 cols[size_at] = pa.array(sizes, schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return met.mapInArrow(run, docs.schema)

@@ -66,3 +66,16 @@ def test_contexts_discover(spark):
     assert "[CARD] expires" in out[0].text and "[CARD]" in out[1].text and out[0].n_chars == len(out[0].text)
     assert out[3].text == rows[3][1] and out[3].n_chars == 3 and out[None].text.startswith("[EMAIL] long")
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).columns == df.columns
+
+
+def test_a_context_holds_whatever_else_is_there(spark):
+    """Ten thousands of other numeric stretches neither take the rare context away nor get one."""
+    rng = random.Random(12)
+    rare = [r for r in corpus() if r[0] % 2 == 0][:4] + [r for r in corpus() if r[0] % 40 == 1][:3]
+    other = [(10000 + i, f"row {i % 97} has {rng.randrange(10**8, 10**9)} units of {rng.randrange(10**8, 10**9)} pieces", "x", 0) for i in range(30000)]
+    found = []
+    for more in ([], other):
+        df = spark.createDataFrame([(i, t) for i, t, *_ in rare + more], "doc_id long, text string").repartition(4)
+        found.append({r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df).collect()})
+    assert all(found[0][i] == found[1][i] and [s[0] for s in found[0][i]] == ["card"] for i, *_ in rare)
+    assert not any(found[1][i] for i, *_ in other)
