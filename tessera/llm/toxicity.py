@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples are the positives P; texts drawn without regard to any label are the unlabelled U. A linear
-classifier on how often words and their beginnings occur, in steps, is trained in numpy on the class-prior-corrected risk
+Confirmed toxic examples are the positives P; labelled rows drawn without regard to their label are the unlabelled U, so
+that the whole fit rests on a bounded sample of labelled rows. A linear classifier on how often words and their beginnings occur, in steps, is trained in numpy on the class-prior-corrected risk
 
     prior * R+(P) + max(0, R-(U) - prior * R-(P)),
 
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
 
-#: The bounded sample that the classifier is fitted on: positives, unlabelled texts, and words or beginnings as features.
-POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 4096
+#: The bounded sample of labelled rows that the classifier is fitted on: positives, and rows whose label is not looked at.
+POSITIVES, UNLABELLED = 4000, 8000
+#: Texts whose marks are held at once while the sample is counted.
+SLICE = 50
 #: Bytes of a beginning, which stands behind a caret (inflected and compounded forms share it), and the counts that make a
 #: step: a mark is a word or a beginning with a step that it reaches in the text.
 BEGINNINGS, LEVELS = (4, 5, 6, 7, 8, 10), (1, 2, 3, 5)
@@ -107,64 +109,22 @@ def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, pr
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labels whose documents are not held out. Fitted on POSITIVES and UNLABELLED rows at most, the first by a hash
-    of the id; the prior counts all training labels. Without a positive example every text scores under one half.
-    """
-    marked = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) == 1).alias("p"))
-    n, toxic = marked.agg(F.count("*"), F.sum(F.col("p").cast("long"))).first()
-    if not toxic:
-        return Model({}, -3.0)
-    if prior is None:
-        prior = toxic / n if toxic < n else 0.1
-    order = F.xxhash64("id", F.lit(5))
-    chosen = marked.where("p").select("id").distinct().orderBy(order, "id").limit(POSITIVES).withColumn("p", F.lit(True))
-    others = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct().orderBy(order, "id").limit(UNLABELLED).withColumn("p", F.lit(False))
-    chosen = materialise(chosen.unionByName(others), "chosen")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = materialise(text.join(F.broadcast(chosen), "id").select("id", "p", "text"), "sample")  # POSITIVES + UNLABELLED ids at most
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 50):  # a text has thousands of marks
-                b, held, flags = whole.slice(at, 50), [], []
-                for t, p in zip(text_bytes(b.column(1)), b.column(0).to_pylist(), strict=True):
-                    own = marks(t)
-                    held += own
-                    flags += [p] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int32()), pa.array(flags, pa.bool_())], ["word", "level", "p"])
-
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    negative = loss(-z[~positive]).sum() / n_u - prior * loss(-z[positive]).sum() / n_p
-    grad = np.zeros(len(z))
-    if negative < 0:  # overfitted: step back along the negative part alone
-        grad[~positive] = slope(-z[~positive]) / n_u
-        grad[positive] = -prior * slope(-z[positive]) / n_p
-        return prior * loss(z[positive]).sum() / n_p, grad
-    grad[~positive] = -slope(-z[~positive]) / n_u
-    grad[positive] = prior * (slope(z[positive]) + slope(-z[positive])) / n_p
-    return prior * loss(z[positive]).sum() / n_p + negative, grad
-
-
-def fit_linear(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by Adam over the whole sample; ``rows`` are indexes of the features present. The bias stays at the log odds of the
-    prior, so a text without any known mark scores the prior, however few positives there are."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    w, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, steps + 1):
-        z = np.bincount(at, w[feature], len(rows)) + w[-1]
-        _, g = risk_gradient(z, positive, prior)
-        grad = np.r_[np.bincount(feature, g[at], n_features) + decay * w[:-1], 0.0]
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+def marked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, text) -> (word, level, p) of every mark; SLICE texts at a time, as each has thousands of marks."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b, held, flags = whole.slice(at, SLICE), [], []
+            for t, p in zip(text_bytes(b.column(1)), b.column(0).to_pylist(), strict=True):
+                own = marks(t)
+                held += own
+                flags += [p] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int32()), pa.array(flags, pa.bool_())], ["word", "level", "p"])
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labels whose documents are not held out. Fitted on POSITIVES and UNLABELLED rows at most, the first by a hash
-    of the id; the prior counts all training labels. Without a positive example every text scores under one half.
+    """A model from labels whose documents are not held out. Fitted on POSITIVES and UNLABELLED of these rows at most, the first
+    by a hash of the id; the prior counts all training labels. Every mark of the sample that passes LEAST and Z is a feature.
+    Without a positive example every text scores under one half.
     """
     marked = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) == 1).alias("p"))
     n, toxic = marked.agg(F.count("*"), F.sum(F.col("p").cast("long"))).first()
@@ -174,26 +134,18 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
         prior = toxic / n if toxic < n else 0.1
     order = F.xxhash64("id", F.lit(5))
     chosen = marked.where("p").select("id").distinct().orderBy(order, "id").limit(POSITIVES).withColumn("p", F.lit(True))
-    others = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct().orderBy(order, "id").limit(UNLABELLED).withColumn("p", F.lit(False))
+    others = marked.where("id is not null").select("id").distinct().orderBy(order, "id").limit(UNLABELLED).withColumn("p", F.lit(False))
     chosen = materialise(chosen.unionByName(others), "chosen")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = materialise(text.join(F.broadcast(chosen), "id").select("id", "p", "text"), "sample")  # POSITIVES + UNLABELLED ids at most
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, flags = [], []
-            for t, p in zip(text_bytes(b.column(1)), b.column(0).to_pylist(), strict=True):
-                own = marks(t)
-                held += own
-                flags += [p] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int32()), pa.array(flags, pa.bool_())], ["word", "level", "p"])
+    # POSITIVES + UNLABELLED ids at most; rows that repeat an id count once.
+    sample = materialise(text.join(F.broadcast(chosen), "id").groupBy("id", "p").agg(F.min("text").alias("text")), "sample")
 
     n_p, n_u = (sample.where(c).count() for c in ("p", "not p"))
     a, b = F.col("a") / max(1, n_p), F.col("b") / max(1, n_u)
     mean = (F.col("a") + F.col("b")) / (n_p + n_u)
     z = (a - b) / F.sqrt(mean * (1 - mean) * (1 / max(1, n_p) + 1 / max(1, n_u)) + 1e-12)
-    counted = sample.select("p", "text").mapInArrow(spread, "word binary, level int, p boolean").groupBy("word", "level").agg(F.sum(F.col("p").cast("long")).alias("a"), F.sum((~F.col("p")).cast("long")).alias("b"))
-    counted = counted.where((F.col("a") + F.col("b") >= LEAST)).select("word", "level", z.alias("z")).where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "word", "level").limit(FEATURES)
+    counted = sample.select("p", "text").mapInArrow(marked_words, "word binary, level int, p boolean").groupBy("word", "level").agg(F.sum(F.col("p").cast("long")).alias("a"), F.sum((~F.col("p")).cast("long")).alias("b"))
+    counted = counted.where((F.col("a") + F.col("b") >= LEAST)).select("word", "level", z.alias("z")).where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "word", "level")
     names = [(bytes(r.word), r.level) for r in counted.collect()]
     if not names:
         return Model({}, -3.0)

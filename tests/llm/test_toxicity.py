@@ -1,7 +1,9 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import toxicity
 
@@ -63,3 +65,37 @@ def test_risk_is_class_prior_corrected():
     z = np.where(positive, 8.0, -9.0)
     risk, grad = toxicity.risk_gradient(z, positive, 0.5)
     assert risk >= 0 and (grad[~positive] <= 0).all()
+
+
+def test_the_sample_is_counted_in_slices():
+    """A batch of 120 texts leaves in three parts, whose marks are those of the texts one by one."""
+    texts = [f"a{i % 7} word word stays {i}" for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 == 0 for i in range(120)]), pa.array(texts)], ["p", "text"])
+    parts = list(toxicity.marked_words(iter([batch])))
+    assert len(parts) == 3
+    got = Counter((w, n, p) for b in parts for w, n, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+    assert got == Counter((w, n, i % 3 == 0) for i, t in enumerate(texts) for w, n in toxicity.marks(t.encode()))
+
+
+def test_scores_by_brute_force(spark):
+    """The score is the logistic of the bias and the weights of the marks that the text holds, found one by one."""
+    rows, labels = corpus(300)
+    docs, marks = frames(spark, rows, labels)
+    model = toxicity.train(docs, marks)
+    assert model.weights
+    for r in toxicity.score(docs, model).collect():
+        text = rows[r.doc_id][1].encode().lower().replace(b"!", b" ").replace(b",", b" ").split()
+        z = model.bias
+        for (x, level), w in model.weights.items():
+            n = sum(t[: len(x) - 1] == x[1:] for t in text) if x.startswith(b"^") else text.count(x)
+            z += w * (n >= level)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z)))
+
+
+def test_a_fit_rests_on_labelled_rows_alone(spark):
+    """Documents without a label move no weight."""
+    rows, labels = corpus(300)
+    docs, marks = frames(spark, rows, labels)
+    more = docs.unionByName(spark.createDataFrame([(50000 + i, "scum vile other words", "x", 0.0) for i in range(200)], docs.schema))
+    a, b = toxicity.train(docs, marks), toxicity.train(more, marks)
+    assert a.weights == b.weights and a.bias == b.bias
