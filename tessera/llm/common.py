@@ -6,11 +6,28 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.scratch import shared_dir
 from tessera.sources.scratch import written as materialise
 
-__all__ = ["materialise", "read_table", "shared_dir", "text_bytes", "tune"]
+__all__ = ["hub_join", "materialise", "read_table", "shared_dir", "text_bytes", "tune"]
+
+
+#: A key is a hub if more than one in so many rows hold it, so there are fewer hubs than that.
+HUBS = 1000
+
+
+def hub_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``many`` joined to ``one``, which has one row for each ``key`` and says in ``n`` how many rows of ``many`` hold it.
+
+    The rows of ``one`` for hubs, HUBS at most, are broadcast, so a hub's rows stay in the tasks where they lie; the others
+    meet by a shuffle. ``total`` is the number of rows of ``many``, or a bound of its order.
+    """
+    hub = F.col(n) * HUBS > F.lit(total)
+    hubs, rest = one.where(hub), one.where(~hub)
+    few = many.join(F.broadcast(hubs), key)
+    return few.unionByName(many.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key))
 
 
 def tune(spark: SparkSession) -> None:

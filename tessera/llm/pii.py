@@ -1,11 +1,13 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
-Base matches are the seed entities. Each identifier-like stretch of text (an instance) stands in two lexical patterns:
-its shape after the word on its left, and its shape before the word on its right. Over all documents pattern and instances
-form a bipartite graph, scored by turns in Spark: a pattern by the mean of its instances, an instance by the mean of its
-patterns, seeds fixed at their kind. Patterns of enough distinct instances and confidence then mark instances that
-no base pattern takes. Neither bar depends on the size of the corpus, so accepted patterns stay a table, which meets the
-patterns of each text in a join.
+Base matches are the seed entities. Each identifier-like stretch of text (an instance) stands in three lexical patterns:
+its class after the word on its left, before the word on its right, and between both. The class tells only whether it holds
+an @, letters and digits, digits or neither, so a context learnt from seeds finds identifiers of forms that no base pattern
+has. Over all documents patterns and instances form a bipartite graph, scored by turns in Spark: a pattern by the mean
+of its instances, an instance by the mean of its patterns, seeds fixed at their kind. Ordinary numbers in a context have
+other contexts too, score low, and so keep it from being trusted. Patterns of enough distinct instances and confidence then
+mark instances that no base pattern takes. Neither bar depends on the size of the corpus, so accepted patterns stay a table,
+which meets the patterns of each text in a join.
 """
 
 from __future__ import annotations
@@ -14,21 +16,29 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hub_join, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+#: A match can only begin where a run of digits does, and takes runs whole, which keeps the search linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SHAPE = re.compile(r"[0-9]+|[a-z]+|[A-Z]+")
-#: Instances: digits needed, longest. Patterns: distinct instances and confidence needed, rounds.
-DIGITS, LONGEST, SUPPORT, CONFIDENCE, ROUNDS = 6, 64, 3, 0.6, 3
+#: What makes a word identifier-like: a digit, an @ or an underscore, or letters joined by a dot or a bracket.
+_LIKE = re.compile(r"[0-9@_]|[^\W_][.(\[][^\W_]")
+#: Code points of the widest joined stretch (a wider one falls into its words) and of a context word (the end next to the
+#: instance counts); longer instances are known by a digest.
+WIDE = 64
+#: Patterns: distinct instances and confidence needed, rounds.
+SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
+#: Equal texts meet their patterns in so many groups.
+SALTS = 64
 
 
 def luhn(digits: str) -> bool:
@@ -61,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     first = _DIGIT.search(text)
     if first:
         at = first.start()
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text, at) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text, at) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text, at):
             digits = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -73,45 +83,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(s: str) -> str:
-    return _SHAPE.sub(lambda m: "9" if m.group()[0].isdigit() else "a" if m.group()[0].islower() else "A", s)
+def kind_of_stretch(s: str) -> str:
+    """E: holds an @; M: digits and letters; N: digits; W: neither."""
+    if "@" in s:
+        return "E"
+    if not _DIGIT.search(s):
+        return "W"
+    return "M" if any(map(str.isalpha, s)) else "N"
 
 
-def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, end, kind's number or -1, left pattern, right pattern): base spans, and identifier-like stretches apart from them."""
+def _apart(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of ``found`` that overlap none of ``taken``; both come by start."""
+    i, reach = 0, 0  # the furthest end of those that start before the stretch ends
+    for a, b in found:
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= a:
+            yield a, b
+
+
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, tuple[str, str, str]]]:
+    """(start, end, kind's number or -1, patterns): base spans, and identifier-like stretches apart from them."""
     found = [(a, b, k) for a, k, b in base]
-    taken = [(a, b) for a, _, b in base]
-    start = _DIGIT.search(text)
-    if start:
-        at = max(text.rfind(" ", 0, start.start()), text.rfind("\n", 0, start.start())) + 1
-        for m in _tokens(text, at):
-            a, b = m
-            while b > a and text[b - 1] in ".,;:!?)\"'":
-                b -= 1
-            while b > a and text[a] in "(\"'":
-                a += 1
-            if b - a > LONGEST or sum(c.isdigit() for c in text[a:b]) < DIGITS or any(x < b and a < y for x, y in taken):
-                continue
-            found.append((a, b, -1))
+    found += [(a, b, -1) for a, b in _apart(list(_stretches(text)), [(a, b) for a, _, b in base])]
     out = []
     for a, b, k in found:
-        left, right = text[max(0, a - LONGEST) : a].split()[-1:], text[b : b + LONGEST].split()[:1]
-        s = shape(text[a:b])
-        out.append((a, b, k, f"L {left[0].lower() if left else '^'} {s}", f"R {s} {right[0].lower() if right else '$'}"))
+        left, right = text[max(0, a - WIDE) : a].split()[-1:], text[b : b + WIDE].split()[:1]
+        before, after, c = left[0].lower() if left else "^", right[0].lower() if right else "$", kind_of_stretch(text[a:b])
+        out.append((a, b, k, (f"B {before} {c} {after}", f"L {before} {c}", f"R {c} {after}")))
     return out
 
 
-def _tokens(text: str, at: int) -> Iterator[tuple[int, int]]:
-    """Stretches of words with a digit, joined by single spaces where the next begins with a digit or a bracket."""
-    n = len(text)
-    while m := _DIGIT.search(text, at):
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Identifier-like words without the punctuation around them. Numbers joined by single spaces are one stretch, if it isn't too wide."""
+    n, at = len(text), 0
+    while m := _LIKE.search(text, at):
         a = b = m.start()
         while a > at and not text[a - 1].isspace():
             a -= 1
-        while b < n and (not text[b].isspace() or (text[b] == " " and b + 1 < n and (text[b + 1] in "(0123456789"))):
-            b += 1
-        yield a, b
+        words, start = [], a
+        while True:
+            while b < n and not text[b].isspace():
+                b += 1
+            words.append((start, b))
+            if not (b + 1 < n and text[b - 1] in "0123456789)-" and text[b] == " " and text[b + 1] in "(0123456789"):
+                break
+            start = b = b + 1
         at = b
+        for x, y in [(a, b)] if b - a <= WIDE else words:
+            while y > x and text[y - 1] in ".,;:!?)\"'":
+                y -= 1
+            while y > x and text[x] in "(\"'":
+                x += 1
+            if _LIKE.search(text, x, y):
+                yield x, y
+
+
+def _name(s: str) -> str:
+    return s if len(s) <= WIDE else f"# {xxhash.xxh3_128_hexdigest(s.encode())}"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +150,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if t:
                 base = base_spans(t)
-                for a, z, k, left, right in instances(t, base):
-                    rows += [(left, t[a:z], k), (right, t[a:z], k)]
+                for a, z, k, own in instances(t, base):
+                    name = _name(t[a:z])
+                    rows += [(p, name, k) for p in own]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["pattern", "instance", "kind"])
 
 
@@ -131,15 +162,20 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS
     edges = materialise(seen.distinct(), "edges")
     names = [f"s{k}" for k in range(len(KINDS))]
     open_ = F.col("kind") < 0
-    # Seeds keep their scores, so of them each pattern needs only the sums; patterns without an open instance mark nothing.
+    # Seeds keep their scores, so of them each pattern needs only the sums; patterns without an open instance mark nothing,
+    # and those without a seed score zero in the first round.
     sums = [F.sum((F.col("kind") == k).cast("double")).alias(f"base{k}") for k in range(len(KINDS))]
-    base = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.max(open_).alias("open"), *sums).where("open").drop("open")
-    graph = materialise(edges.where(open_).select("pattern", "instance").join(base, "pattern"), "graph")
+    base = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.sum(open_.cast("long")).alias("o"), *sums).where("o > 0")
+    base = materialise(base, "base")
+    opens = edges.where(open_).select("pattern", "instance")
+    total = opens.count()
+    graph = materialise(hub_join(opens, base, "pattern", "o", total), "graph")
     # A mean over one more instance of score zero, so that few instances don't make a sure pattern.
-    pattern = materialise(graph.groupBy("pattern").agg(F.first("m").alias("m"), *[(F.first(f"base{k}") / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)]), "patterns")
+    pattern = base.select("pattern", "m", "o", *[(F.col(f"base{k}") / (F.col("m") + 1)).alias(s) for k, s in enumerate(names)])
     for _ in range(rounds):
-        mean = graph.select("pattern", "instance").join(pattern.select("pattern", *names), "pattern").groupBy("instance").agg(*[F.avg(s).alias(s) for s in names])
-        again = graph.join(mean, "instance").groupBy("pattern").agg(F.first("m").alias("m"), *[((F.first(f"base{k}") + F.sum(s)) / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)])
+        scored = hub_join(graph.select("pattern", "instance"), pattern.select("pattern", "o", *names), "pattern", "o", total)
+        mean = materialise(scored.groupBy("instance").agg(F.count("*").alias("c"), *[F.avg(s).alias(s) for s in names]), "instances")
+        again = hub_join(graph, mean, "instance", "c", total).groupBy("pattern").agg(F.first("m").alias("m"), F.first("o").alias("o"), *[((F.first(f"base{k}") + F.sum(s)) / (F.first("m") + 1)).alias(s) for k, s in enumerate(names)])
         pattern = materialise(again, "patterns")
     best = F.greatest(*[F.col(s) for s in names])
     sure = pattern.where((F.col("m") >= support) & (best >= confidence))
@@ -148,24 +184,32 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Patterns of the instances apart from base spans, beside the hashes of their text."""
+    """Patterns of the instances apart from base spans, beside the key of their text."""
     for b in batches:
         rows = []
-        for k1, k2, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(k1, k2, p) for p in {p for _, _, k, *both in instances(t, base_spans(t)) if k < 0 for p in both}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["k1", "k2", "pattern"])
+        for k1, k2, salt, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            rows += [(k1, k2, salt, p) for p in {p for _, _, k, own in instances(t, base_spans(t)) if k < 0 for p in own}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["k1", "k2", "salt", "pattern"])
 
 
 def _with_patterns(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """(r: the row, found: accepted patterns that its text holds, as entries or null). Texts without a digit hold none and don't move."""
+    """(r: the row, found: accepted patterns that its text holds, as entries or null). Texts without a stretch hold none and don't move."""
     row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text_col}`")
-    digit = F.coalesce(text.rlike("[0-9]"), F.lit(False))
-    keyed = docs.where(digit).select(row, F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"))
-    asked = keyed.select("k1", "k2", F.col("r").getField(text_col).alias("text")).mapInArrow(_asked, "k1 long, k2 long, pattern string").distinct()
-    found = asked.join(patterns, "pattern").groupBy("k1", "k2").agg(F.collect_list(F.struct("pattern", "kind")).alias("found"))
+    like = F.coalesce(text.rlike(r"[0-9@_]|[\p{L}\p{N}][.(\[][\p{L}\p{N}]"), F.lit(False))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not _map(docs, c)]), F.lit(SALTS))
+    keyed = docs.where(like).select(row, F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"), salt.cast("long").alias("salt"))
+    asked = keyed.select("k1", "k2", "salt", F.col("r").getField(text_col).alias("text")).mapInArrow(_asked, "k1 long, k2 long, salt long, pattern string").distinct()
+    asked = materialise(asked, "asked")
+    of = asked.groupBy("pattern").agg(F.count("*").alias("n")).join(patterns, "pattern")
+    found = hub_join(asked, of, "pattern", "n", asked.count()).groupBy("k1", "k2", "salt").agg(F.collect_list(F.struct("pattern", "kind")).alias("found"))
     found = materialise(found, "found")
     none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
-    return keyed.join(found, ["k1", "k2"], "left").select("r", "found").unionByName(docs.where(~digit).select(row, none))
+    return keyed.join(found, ["k1", "k2", "salt"], "left").select("r", "found").unionByName(docs.where(~like).select(row, none))
+
+
+def _map(docs: DataFrame, column: str) -> bool:
+    """Whether a column holds maps, which have no hash."""
+    return "map<" in docs.schema[column].dataType.simpleString()
 
 
 def _held(column: pa.Array) -> Iterator[dict[str, int]]:
@@ -179,8 +223,8 @@ def spans(text: str, patterns: dict[str, int]) -> tuple[list[tuple[int, int, int
     if not patterns:
         return base, base
     added = []
-    for a, b, k, left, right in instances(text, base):
-        if k < 0 and (kind := patterns.get(left, patterns.get(right))) is not None:
+    for a, b, k, own in instances(text, base):
+        if k < 0 and (kind := next((patterns[p] for p in own if p in patterns), None)) is not None:
             added.append((a, kind, b))
     return base, sorted(base + added)
 

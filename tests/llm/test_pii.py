@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tessera.llm import pii
 
@@ -79,3 +80,73 @@ def test_a_context_holds_whatever_else_is_there(spark):
         found.append({r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df).collect()})
     assert all(found[0][i] == found[1][i] and [s[0] for s in found[0][i]] == ["card"] for i, *_ in rare)
     assert not any(found[1][i] for i, *_ in other)
+
+
+def brute_patterns(texts, rounds=pii.ROUNDS):
+    """The scores by dictionaries over all distinct (pattern, instance) edges."""
+    edges = {(p, pii._name(t[a:b]), k) for t in texts if t for a, b, k, own in pii.instances(t, pii.base_spans(t)) for p in own}
+    held = {p: [(i, k) for q, i, k in edges if q == p] for p in {e[0] for e in edges}}
+    held = {p: own for p, own in held.items() if any(k < 0 for _, k in own)}
+    kinds = range(len(pii.KINDS))
+    score = {p: [sum(k == x for _, k in own) / (len(own) + 1) for x in kinds] for p, own in held.items()}
+    for _ in range(rounds):
+        of = {}
+        for p, own in held.items():
+            for i, k in own:
+                if k < 0:
+                    of.setdefault(i, []).append(p)
+        mean = {i: [sum(score[p][x] for p in ps) / len(ps) for x in kinds] for i, ps in of.items()}
+        score = {p: [sum((k == x) if k >= 0 else mean[i][x] for i, k in own) / (len(own) + 1) for x in kinds] for p, own in held.items()}
+    return {(p, max(kinds, key=lambda x: (score[p][x], -x))) for p, own in held.items() if len(own) >= pii.SUPPORT and max(score[p]) >= pii.CONFIDENCE}
+
+
+def varied():
+    """Seeds of every kind in contexts of their own, forms that no base pattern takes in these contexts, and plain numbers elsewhere."""
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = []
+    for i in range(60):
+        fill = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=6))
+        form = [f"please call +49 {d(3)} {d(6)} today", f"write to n{i}.x@host{i}.org now", f"host at 10.{i}.{rng.randrange(256)}.7 answers"][i % 3]
+        rows.append((i, f"{fill()} {form} {fill()} page {rng.randrange(40)} {fill()}"))
+    rows += [(100, "please call 555-019-9 today"), (101, "write to root@localhost now"), (102, "host at 10.300.1.7 answers"), (103, "in 1987 there were 555-019-9 of them"), (104, "call +1 " + "2 " * 40 + "today")]
+    return rows
+
+
+def test_contexts_find_other_forms(spark):
+    rows = varied()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    patterns = pii.learn_patterns(df)
+    got = {(r.pattern, r.kind) for r in patterns.collect()}
+    assert got == brute_patterns([t for _, t in rows])
+    text, found = dict(rows), {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s not in r.base] for r in pii.find(df, patterns=patterns).collect()}
+    said = {i: [(k, text[i][a:b]) for k, a, b in own] for i, own in found.items() if own}
+    assert said[100] == [("phone", "555-019-9")] and said[101] == [("email", "root@localhost")] and said[102] == [("ip", "10.300.1.7")]
+    assert 103 not in said and all(i >= 100 for i in said)
+
+
+def test_patterns_by_brute_force(spark):
+    """A hub of a context, repeated rows, and instances in several contexts."""
+    rng = random.Random(4)
+    texts = [f"{rng.choice(['id', 'no', 'the'])} {rng.choice(['4111 1111 1111 1111', '4111111111111111', '5500 0000 0000 0004', '12-34', '9_a', 'x@y', '1234567'])} {rng.choice(['of', 'for'])}" for _ in range(300)]
+    texts += ["the 7 of"] * 500 + [None, "", "id 340000000000009 of", "no 30000000000004 of"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for rounds in (0, 1, 3):
+        assert {(r.pattern, r.kind) for r in pii.learn_patterns(df, rounds=rounds).collect()} == brute_patterns(texts, rounds)
+
+
+def test_stretches():
+    cut = lambda t: [t[a:b] for a, b in pii._stretches(t)]
+    assert cut("call (555) 019 now, a_b. x@y e.g 12 no") == ["555) 019", "a_b", "x@y", "e.g", "12"]
+    assert cut(" ".join(["12345678"] * 9)) == ["12345678"] * 9
+    assert cut("9" * 200) == ["9" * 200] and len(pii._name("9" * 200)) == 34
+    assert cut("") == [] and cut("plain words only.") == []
+
+
+def test_very_long_runs_take_linear_time():
+    for text in ("1" * 1_000_000, "1.2." * 250_000, "a@" * 500_000, "+1 " * 300_000, "4111 1111 1111 1111 " * 50_000, "x_1 y(2 " * 100_000, "0" * 999_990 + ".1.1.1"):
+        began = time.time()
+        base = pii.base_spans(text)
+        pii.instances(text, base)
+        assert time.time() - began < 15  # quadratic search takes hours
+    assert pii.base_spans("0" * 9000 + ".1.1.1") == [(0, 1, 9006)]
