@@ -1,10 +1,12 @@
 """Packing into fixed windows by lexical retrieval: a sharded BM25 index returns unused neighbours for each seed.
 
-Documents are encoded once, written as bytes of ids, and dealt to shards of bounded size. Each shard holds an inverted
-index of its own documents; how many documents hold a term is counted over all shards first, so weights don't depend
-on the dealing (the table of counts is as long as the vocabulary at most). A seed opens a window, its neighbours follow by
-score while they fit; when none fits any more, the best unused one is cut to fill the window, and its rest stays unused.
-So only a shard's last window has padding.
+Documents are encoded once, written as bytes of ids, and dealt to shards of bounded size by content: they are ordered by the
+terms that win two weighted lots (a term wins the more likely the fewer documents hold it, and documents that share their rare
+terms share the winners), and this order is cut into shards. A crowd of like or equal documents fills as many shards as it
+needs. Each shard holds an inverted index of its own documents; how many documents hold a term is counted over all shards
+first, so weights don't depend on the dealing (the table of counts is as long as the vocabulary at most). A seed opens a
+window, its neighbours follow by score while they fit; when none fits any more, the best unused one is cut to fill the
+window, and its rest stays unused. So only a shard's last window has padding. Neighbours are those of the seed's shard.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +62,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that may hold an added token go to the tokenizer whole.
+        self.added = [t["content"] for t in json.loads(spec).get("added_tokens") or ()]
         model = json.loads(spec)["model"]
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -145,7 +149,22 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the closing one of each, offsets)."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+        texts = texts.cast(pa.string()).fill_null("")
+        some = np.zeros(len(texts), bool)
+        for content in self.added:
+            some |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not some.any():
+            return self._plain(texts)
+        ids, offsets = self._plain(pc.if_else(pa.array(some), "", texts))
+        parts, sizes, at = [], np.diff(offsets), 0
+        for i in np.flatnonzero(some).tolist():
+            own = np.r_[self._whole([texts[i].as_py().encode()])[0], self.end].astype(self.kind)
+            parts += [ids[at : offsets[i]], own]
+            sizes[i], at = len(own), offsets[i + 1]
+        return np.concatenate([*parts, ids[at:]]), np.r_[0, np.cumsum(sizes)]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(ends[0], ends[-1] - ends[0]).cast(pa.binary()).dictionary_encode()
         ends = ends - ends[0]
@@ -201,6 +220,28 @@ def document_counts(tokens: DataFrame, width: int) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def lots(idf: np.ndarray, seed: int) -> np.ndarray:
+    """Of each term: an exponential draw over its squared weight. The term of a document with the least one is its winner, and
+    two documents share it with the weighted similarity of their sets of terms."""
+    draw = -np.log1p(-np.random.default_rng([seed, len(idf)]).random(len(idf)))
+    return draw / np.maximum(idf, 1e-3) ** 2
+
+
+def _winners(idf, width: int):
+    """Adds the two winners, in the order of a shuffled vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = idf.value
+        own = [lots(weights, k) for k in range(2)]
+        name = np.random.default_rng(2).permutation(len(weights))
+        for b in batches:
+            seen = [np.unique(np.frombuffer(x.as_py(), f"<u{width}")) for x in b.column(2)]
+            won = [pa.array([int(name[t[k[t].argmin()]]) for t in seen], pa.int64()) for k in own]
+            yield pa.RecordBatch.from_arrays([*b.columns, *won], ["rid", "doc_id", "ids", "w1", "w2"])
+
+    return run
+
+
 class Index:
     """Inverted index with BM25 weights over one shard."""
 
@@ -262,6 +303,12 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     return out
 
 
+def dealt(tokens: DataFrame, idf, width: int, shards: int) -> DataFrame:
+    """``tokens`` (rid, doc_id, ids) ordered by their winners over ``shards`` partitions; rid tells equal ones apart."""
+    won = tokens.select("rid", "doc_id", "ids").mapInArrow(_winners(idf, width), "rid long, doc_id long, ids binary, w1 long, w2 long")
+    return won.repartitionByRange(shards, "w1", "w2", "rid").sortWithinPartitions("w1", "w2", "rid")
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids array<int>.
 
@@ -269,7 +316,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, id_c
     ids are packed like others. Ties go to the longer, then the earlier document. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    tokens = materialise(tokenize(docs, path, end_id, id_col, text_col), "tokens")
+    tokens = tokenize(docs, path, end_id, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    tokens = materialise(tokens, "tokens")
     with open(path, encoding="utf-8") as f:
         from tokenizers import Tokenizer
 
@@ -284,17 +332,30 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, id_c
     shards = max(1, -(-(n_tokens or 0) // shard_tokens))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc_ids = table["doc_id"].to_pylist()
-        ids = [np.frombuffer(x.as_py(), f"<u{width}") for x in table["ids"]]
+    def packed(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
         order = sorted(range(len(ids)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0))
         doc_ids, ids = [doc_ids[i] for i in order], [ids[i] for i in order]
-        rows = []
+        rows, last = [], first
         for i, s, n, q, at in pack_shard(ids, idf.value, mean, window):
             piece = ids[i][s : s + n].astype("<u4")
-            rows.append((doc_ids[i], s, n, zlib.crc32(piece.tobytes()), len(ids[i]), key[0].as_py() << 32 | q, at, *[piece.astype(np.int32)] * with_ids))
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema)
+            rows.append((doc_ids[i], s, n, zlib.crc32(piece.tobytes()), len(ids[i]), first + q, at, *[piece.astype(np.int32)] * with_ids))
+            last = max(last, first + q + 1)
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema), last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts where a partition of the sampled ranges came out twice as long as a shard."""
+        first, doc_ids, ids, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for b in batches:
+            for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                doc_ids.append(d)
+                ids.append(np.frombuffer(x.as_py(), f"<u{width}"))
+                size += len(ids[-1])
+                if size >= 2 * shard_tokens:
+                    out, first = packed(doc_ids, ids, first)
+                    yield out
+                    doc_ids, ids, size = [], [], 0
+        if ids:
+            yield packed(doc_ids, ids, first)[0]
 
-    dealt = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.lit(11)), F.lit(shards)).alias("shard"))
     made = ", ".join(f"{n} long" for n in schema.names[:7]) + ", ids array<int>" * with_ids
-    return dealt.groupBy("shard").applyInArrow(run, made)
+    return dealt(tokens, idf, width, shards).select("doc_id", "ids").mapInArrow(run, made)

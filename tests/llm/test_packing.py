@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -13,13 +14,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def reference(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def samples(n=300):
     rng = random.Random(8)
-    parts = ["the", "The", "thtion", "é", "é", "É", "don't", "ΑΣ", "Σ", "İ", "12", "日本", "\xa0", "x y", "!?", "<|endoftext|>", "́a", "|", "\x1c", "a\x85b"]
+    parts = ["the", "The", "thtion", "é", "é", "É", "don't", "ΑΣ", "Σ", "İ", "12", "日本", "\xa0", "x y", "!?", "<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>", "́a", "|", "\x1c", "a\x85b"]
     return ["", None, " ", "\n\t"] + [rng.choice((" ", "  ", "\n")).join(rng.choices(parts, k=rng.randint(1, 900))) for _ in range(n)]
 
 
@@ -90,3 +90,45 @@ def test_scores_are_bm25():
     for i, d in enumerate(docs):
         want = [sum(idf[t] * (tf := (e == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(e) / 15.0)) for t in set(d.tolist())) for e in docs]
         assert np.allclose(index.scores(i), want)
+
+
+def test_added_tokens_as_the_tokenizer():
+    """One text of three holds them, so both ways meet in a batch."""
+    enc = packing.WordEncoder(open(PATH, encoding="utf-8").read(), 1)
+    texts = ["see <|endoftext|> here", "see here", None, "a<|endoftext|><|startoftext|>b\n", "", "< |endoftext|>"]
+    ids, offsets = enc.encode(pa.array(texts, pa.string()))
+    got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == reference(texts) and got[0] == [862, 49407, 763, 1]
+
+
+def test_shards_are_dealt_by_content(spark):
+    """Over many shards nearly all of a document's best neighbours are in its own, against one in 16 under random dealing."""
+    rng = np.random.default_rng(3)
+    topics = [rng.choice(3000, 30, replace=False) + 500 for _ in range(120)]
+    rows = []
+    for i in range(960):
+        own = np.r_[rng.choice(topics[i % 120], 40), rng.integers(0, 500, 60)].astype("<u2")
+        rows.append((i, i, own.tobytes()))
+    df = spark.createDataFrame(rows, "rid long, doc_id long, ids binary").repartition(4)
+    docs = [np.frombuffer(r[2], "<u2") for r in rows]
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=3500)
+    idf = np.log1p((len(docs) - held + 0.5) / (held + 0.5))
+    placed = packing.dealt(df, spark.sparkContext.broadcast(idf), 2, 16).select("doc_id", F.spark_partition_id().alias("shard")).collect()
+    shard = {r.doc_id: r.shard for r in placed}
+    sizes = np.bincount(list(shard.values()), minlength=16)
+    assert len(shard) == 960 and sizes.max() <= 2.5 * sizes.mean()
+    index = packing.Index(docs, idf, 100.0)
+    hits = []
+    for i in range(0, 960, 7):
+        s = index.scores(i)
+        s[i] = -1
+        hits.append(np.mean([shard[j] == shard[i] for j in np.argsort(-s)[:3].tolist()]))
+    assert np.mean(hits) > 4 / 16
+
+
+def test_a_crowd_of_copies_fills_several_shards(spark):
+    df = spark.createDataFrame([(7, "the same words again and again " * 20)] * 600 + [(1000 + i, f"other text {i}") for i in range(100)], "doc_id long, text string").repartition(6)
+    ids = len(reference(["the same words again and again " * 20])[0])
+    rows = packing.pack(df, PATH, window=256, shard_tokens=8000, with_ids=False).collect()
+    assert sum(r.length for r in rows if r.doc_id == 7) == 600 * ids
+    assert len({r.sequence_id >> 32 for r in rows if r.doc_id == 7}) >= 5
