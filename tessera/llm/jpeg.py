@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 
 #: Bytes of a payload come in multiples of this, three blocks.
 UNIT, PAD = 192, 32
@@ -167,7 +167,7 @@ class Frame:
     def __init__(self, data: bytes):
         self.quants: dict[int, np.ndarray] = {}
         self.tables: dict[tuple[int, int], _Huffman] = {}
-        self.restart = 0
+        self.restart, self.size, self.components = 0, len(data), []
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         at = 2
@@ -176,6 +176,8 @@ class Frame:
                 at += 1
             marker = data[at + 1]
             if marker == 0xD9:
+                if not self.components:
+                    raise ValueError("no frame")
                 break
             n = int.from_bytes(data[at + 2 : at + 4], "big")
             body, at = data[at + 4 : at + 2 + n], at + 2 + n
@@ -209,8 +211,12 @@ class Frame:
     def _start(self, body: bytes) -> None:
         self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
         self.components = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
+        if not (self.height and self.width and self.components and all(c.h and c.v for c in self.components)):
+            raise ValueError("an empty frame")
         self.hmax, self.vmax = max(c.h for c in self.components), max(c.v for c in self.components)
         self.across, self.down = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
+        if self.across * self.down * sum(c.h * c.v for c in self.components) > 8 * self.size:
+            raise ValueError("fewer bits than blocks")
         for c in self.components:
             c.coefficients = np.zeros((self.down * c.v, self.across * c.h, 64), np.int16)
             c.rows, c.columns = -(-(-(-self.height * c.v // self.vmax)) // 8), -(-(-(-self.width * c.h // self.hmax)) // 8)
@@ -394,6 +400,14 @@ class Frame:
         return out
 
 
+def decode(data: bytes) -> Frame | None:
+    """The frame, or nothing where the bytes are no whole progressive Huffman frame."""
+    try:
+        return Frame(data)
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError):
+        return None
+
+
 @functools.lru_cache(maxsize=64)
 def _huffman(lengths: bytes, symbols: bytes) -> _Huffman:
     return _Huffman(lengths, symbols)
@@ -423,7 +437,8 @@ def feature(rgb: np.ndarray) -> str:
     x = rgb.reshape(-1, 3)
     sums = x.sum(axis=0, dtype=np.int64)
     squares = [int((h := np.bincount(x[:, i], minlength=256)) @ np.arange(256) ** 2) for i in range(3)]
-    steps = [int(np.abs(np.diff(rgb[:, ::8, i].astype(np.int16), axis=1)).sum(dtype=np.int64)) for i in range(3)]
+    step = lambda c: np.maximum(c[:, 1:], c[:, :-1]) - np.minimum(c[:, 1:], c[:, :-1])
+    steps = [int(step(rgb[:, :, i]).sum(dtype=np.int64)) for i in range(3)]
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ":".join(f"{a},{b},{c}" for a, b, c in zip(sums.tolist(), squares, steps, strict=True))
 
 
@@ -442,40 +457,52 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _fits(n: int | None, frame: Frame) -> bytes:
+    return payload(frame)[: max(UNIT, -(-(n or 0) // UNIT) * UNIT)]
+
+
 def from_media(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> (doc_id, payload binary, height, width, rgb binary): any progressive JPEG; null media give nulls."""
+    """(doc_id, n_bytes, media) -> (doc_id, payload binary, height, width, rgb binary): any progressive JPEG. Null media, and bytes
+    that are no whole progressive frame (cut short, other kinds, more blocks than bits), give nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for n, m in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                if not m.is_valid:
-                    rows.append((None,) * 4)
-                    continue
-                f = Frame(m.as_py())
-                rows.append((payload(f)[: len(padded(b"")) if not n else -(-n // UNIT) * UNIT], f.height, f.width, f.rgb().tobytes()))
+                f = decode(m.as_py()) if m.is_valid else None
+                rows.append((_fits(n, f), f.height, f.width, f.rgb().tobytes()) if f else (None,) * 4)
             kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["doc_id", "payload", "height", "width", "rgb"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, payload binary, height int, width int, rgb binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``to_media`` and ``from_media`` of each text in one pass, as sizes, digests and features. Null and empty texts are
-    a payload of 192 spaces; equal texts have equal values; an empty table gives an empty table."""
+def digests(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) as read back -> sizes, digests and a feature of the decoded pixels, all of them.
 
-    def one(t: bytes) -> tuple:
-        size, m = len(padded(t)), encode(padded(t))
-        f = Frame(m)
-        back = payload(f)[:size]
-        return len(t), size, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(f.rgb())
+    The tensors are made as in ``from_media``, but only their feature leaves the task. Equal media have equal values; null media
+    and bytes that are no whole progressive frame give nulls beside n_bytes and the digests of the bytes themselves.
+    """
+    names = ("payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string")
 
-    names = ("n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string")
+    def one(n: int | None, m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * 6
+        held, f = (len(m), hashlib.sha256(m).hexdigest()), decode(m)
+        if f is None:
+            return None, None, None, *held, None
+        back = _fits(n, f)
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *held, feature(f.rgb())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [one(t) for t in text_bytes(b.column(1))]
+            rows = [one(n, m.as_py()) for n, m in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
             cols = [pa.array([r[i] for r in rows], pa.int64() if n.endswith("long") else pa.string()) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *[n.split()[0] for n in names]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_bytes", *[n.split()[0] for n in names]])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {', '.join(names)}")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {', '.join(names)}")
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``to_media`` of each text, written to the shared folder and read back. Null and empty texts are a payload of 192 spaces."""
+    return materialise(to_media(docs, id_col, text_col), "media")

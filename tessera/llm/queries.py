@@ -64,7 +64,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return jpeg.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jpeg.digests(jpeg.stored(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

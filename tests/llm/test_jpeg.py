@@ -177,7 +177,7 @@ def test_sparse_scans_accumulate():
 def test_frames(spark):
     rows = [(1, "a b"), (1, "a b"), (None, None), (2, ""), (3, "long " * 20000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, media string")
-    for r in jpeg.digests(df).collect():
+    for r in jpeg.digests(jpeg.stored(df)).collect():
         t = dict(rows)[r.doc_id] or ""
         p = jpeg.padded(t.encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
@@ -186,5 +186,28 @@ def test_frames(spark):
     back = jpeg.from_media(media)
     for r in back.collect():
         assert bytes(r.payload) == jpeg.padded((dict(rows)[r.doc_id] or "").encode()) and len(r.rgb) == 3 * r.height * r.width
-    assert jpeg.digests(df.limit(0)).count() == 0
+    assert jpeg.digests(jpeg.stored(df.limit(0))).count() == 0
     assert jpeg.from_media(spark.createDataFrame([(1, 2, None)], "doc_id long, n_bytes long, media binary")).first().payload is None
+
+
+def test_corrupt_media_give_nulls(spark):
+    good = jpeg.encode(jpeg.padded(b"some words " * 40))
+    huge = good.replace(b"\x11\x08", b"\x11\x08", 1)
+    at = huge.index(b"\xff\xc2") + 5
+    huge = huge[:at] + b"\xff\xf0\xff\xf0" + huge[at + 4 :]
+    cases = [good, good[:50], good[: len(good) // 2], good[:-2], b"", b"\xff\xd8", b"\xff\xd8\xff\xd9", b"text", good.replace(b"\xff\xc2", b"\xff\xc0", 1), huge, None]
+    df = spark.createDataFrame(list(enumerate([440] * len(cases))), "doc_id long, n_bytes long")
+    media = spark.createDataFrame(list(enumerate(cases)), "doc_id long, media binary")
+    df = df.join(media, "doc_id")
+    for r in jpeg.from_media(df).collect():
+        assert (r.payload is not None) == (r.rgb is not None) == (r.doc_id == 0), r.doc_id
+    for r in jpeg.digests(df).collect():
+        assert (r.feature is not None) == (r.doc_id == 0) and r.media_bytes == (None if cases[r.doc_id] is None else len(cases[r.doc_id]))
+
+
+def test_feature_reads_every_pixel():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 256, (16, 24, 3), np.uint8)
+    whole = jpeg.feature(x)
+    want = [[int(x[..., i].astype(int).sum()), int((x[..., i].astype(int) ** 2).sum()), int(np.abs(np.diff(x[..., i].astype(int), axis=1)).sum())] for i in range(3)]
+    assert whole == "24x16:" + ":".join(",".join(map(str, w)) for w in want)
