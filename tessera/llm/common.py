@@ -18,7 +18,7 @@ __all__ = ["hub_join", "materialise", "read_table", "shared_dir", "text_bytes",
 HUBS = 1000
 
 
-def hub_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def hub_join(many: DataFrame, one: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """``many`` joined to ``one``, which has one row for each ``key`` and says in ``n`` how many rows of ``many`` hold it.
 
     The rows of ``one`` for hubs, HUBS at most, are broadcast, so a hub's rows stay in the tasks where they lie; the others
@@ -27,7 +27,7 @@ def hub_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> D
     hub = F.col(n) * HUBS > F.lit(total)
     hubs, rest = one.where(hub), one.where(~hub)
     few = many.join(F.broadcast(hubs), key)
-    return few.unionByName(many.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key))
+    return few.unionByName(many.join(F.broadcast(hubs.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest, key))
 
 
 def tune(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 """Distributed connected components by alternating large-star and small-star contraction.
 
 Every step is a map-side combined ``groupBy(min)`` and a join on the node, so the neighbours of a node never
-meet in one task: a hub is summed where its edges lie, and the join's hot partitions are split by AQE. Each round
+meet in one task: a hub is summed where its edges lie, and its smallest neighbour is sent to them (``hub_join``). Each round
 is written to the shared folder. Only a count and a checksum of the edges reach the driver.
 """
 
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hub_join, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Link every neighbour that is larger (or, small star, not larger) than a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low")).select("n", F.least("n", "low").alias("low"))
-    met = both.join(low, F.col("a") == F.col("n"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+    met = hub_join(both, low, "a", "n", total)
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
+        out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
     return out.where("a <> b").distinct()
 
 
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     sign = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     before = now.agg(sign.alias("s")).first()["s"]
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "star")
+        now = materialise(_star(materialise(_star(now, True, 2 * before["n"]), "large"), False, before["n"]), "star")
         after = now.agg(sign.alias("s")).first()["s"]
         if after == before:
             break

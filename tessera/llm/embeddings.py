@@ -2,10 +2,12 @@
 
 Equal vectors of a label are one class first. A class's key in a table is the signs of its products with that table's
 hyperplanes. Bits follow the number of classes, so that a bucket of unrelated vectors stays small, and tables follow
-the bits, so that a pair at the threshold meets in one of them with the recall asked for. In a bucket cosines are
-computed in double precision. A pair counts in the first table in which it meets, which both vectors' keys tell, so
-links are summed without ever being listed; only links that join two classes of a bucket go on to the components.
-Buckets over ``HOT`` classes are split into blocks, and each pair of blocks is compared apart.
+the bits, so that a pair at the threshold meets in one of them with the recall asked for. Buckets of hundreds are cheap to
+multiply out, and every table sends each vector once, so buckets are wide and tables few. In a bucket cosines are
+computed in double precision from the components as given. A pair counts in the first table in which it meets, which the keys
+of linked vectors, computed again where they are, tell; so links are summed without ever being listed, and only links that
+join two classes of a bucket go on to the components. Buckets over ``HOT`` classes are split into blocks, and each pair of
+blocks is compared apart.
 """
 
 from __future__ import annotations
@@ -18,45 +20,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hub_join, materialise
 from .components import connected_components
-from .simhash import _Union
 
 #: Classes of a bucket that are compared in one group, and unrelated ones that a bucket may hold on average.
-HOT, BUCKET = 2048, 8.0
-#: Runs up to this length are compared by shifts, longer ones by matrix products.
-SHORT = 12
+HOT, BUCKET = 2048, 256.0
+#: Runs up to this length are compared by shifts, longer ones by matrix products, so many rows at a time.
+SHORT, ROWS = 12, 256
 
 
 def table_shape(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits, tables) for n classes."""
-    bits = max(4, math.ceil(math.log2(max(2.0, n / BUCKET))))
+    bits = min(62, max(4, math.ceil(math.log2(max(2.0, n / BUCKET)))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _sketch(bits: int, tables: int, seed: int):
-    """Adds the keys of all tables as 32-bit words, and the unit vector in double precision."""
+class Signs:
+    """Keys of vectors in all tables; one vector at a time, so that a key never depends on the vectors beside it."""
 
+    def __init__(self, bits: int, tables: int, seed: int):
+        self.bits, self.tables, self.seed = bits, tables, seed
+        self.planes: dict[int, np.ndarray] = {}
+        self.weight = 1 << np.arange(bits, dtype=np.int64)
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        n = len(unit)
+        if n not in self.planes:
+            self.planes[n] = np.random.default_rng([self.seed, n]).standard_normal((n, self.bits * self.tables))
+        return (unit @ self.planes[n] > 0).reshape(self.tables, self.bits) @ self.weight
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    x = np.asarray(v, np.float64)
+    x = x / np.abs(x).max()
+    return x / np.sqrt(x @ x)
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+    return [unit(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _sketch(signs: Signs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for b in batches:
-            keys, units = [], []
-            vectors = [np.array(v.as_py(), np.float64) for v in b.column(3)]
-            for v in vectors:
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), bits * tables))
-                scaled = v / np.abs(v).max()
-                units.append((scaled / np.sqrt(scaled @ scaled)).tobytes())
-                signs = (scaled @ planes[len(v)] > 0).reshape(tables, bits)
-                keys.append((signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint32).tobytes())
-            dims = pa.array([len(v) for v in vectors], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), dims, pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["cid", "n", "label", "dim", "keys", "unit"])
+            keys = [signs.keys(x) for x in _vectors(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["cid", "keys"])
 
     return run
 
 
-def pairs_in_runs(run: np.ndarray, units: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Forest:
+    """Components of index pairs that come in parts; ``edges`` are those that joined two."""
+
+    def __init__(self, n: int):
+        self.root, self.edges = np.arange(n), []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)  # each root is hooked once, under a smaller one
+            self.root[high] = np.minimum(a, b)[first]
+            self.edges.append(np.stack([i[first], j[first]], axis=1))
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+
+    def pairs(self) -> np.ndarray:
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
+
+
+def pairs_in_runs(run: np.ndarray, units: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) inside each run of equal ``run`` (sorted) with cosine at or over the threshold, in parts."""
     n = len(run)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
@@ -68,7 +109,7 @@ def pairs_in_runs(run: np.ndarray, units: list[bytes], threshold: float) -> Iter
         rows = np.flatnonzero((width == w) & (size > 1))
         if not len(rows):
             continue
-        x = np.frombuffer(b"".join(units[i] for i in rows), np.float64).reshape(len(rows), -1)
+        x = np.stack([units[i] for i in rows])
         own, few = run[rows], size[rows] <= SHORT
         for s in range(1, SHORT):
             i = np.flatnonzero((own[: len(own) - s] == own[s:]) & few[: len(own) - s])
@@ -79,46 +120,50 @@ def pairs_in_runs(run: np.ndarray, units: list[bytes], threshold: float) -> Iter
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]] & ~few)
         for a in first.tolist():
             b = a + int(size[rows[a]])
-            for c in range(a, b, 512):
-                i, j = np.nonzero(x[c : min(b, c + 512)] @ x[c:b].T >= threshold)
+            for c in range(a, b, ROWS):
+                i, j = np.nonzero(x[c : min(b, c + ROWS)] @ x[c:b].T >= threshold)
                 up = j > i
                 yield rows[c + i[up]], rows[c + j[up]]
 
 
-def _verify(threshold: float, tables: int):
+def _verify(threshold: float, signs: Signs):
     def links(table: np.ndarray, run: np.ndarray, rows: dict[str, list]) -> pa.RecordBatch:
         cid, n, block = (np.array(rows[k], np.int64) for k in ("cid", "n", "block"))
-        split = np.array(rows["cross"], bool)
-        keys = np.frombuffer(b"".join(rows["keys"]), np.uint32).reshape(len(cid), tables)
-        union, edges, ids, sums = _Union(len(cid)), [], [], []
-        for i, j in pairs_in_runs(run, rows["unit"], threshold):
+        split, units = np.array(rows["cross"], bool), rows["v"]
+        forest, total = Forest(len(cid)), np.zeros(len(cid), np.int64)
+        keys: list[np.ndarray | None] = [None] * len(cid)
+        for i, j in pairs_in_runs(run, units, threshold):
             real = ~(split[i] & (block[i] == block[j]))
             i, j = i[real], j[real]
-            met = (keys[i] == keys[j]).argmax(axis=1) == table[i]  # this is the first table in which the two meet
-            i, j = i[met], j[met]
-            ids += [cid[i], cid[j]]
-            sums += [n[j], n[i]]
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if union.join(a, b):
-                    edges.append((cid[a], cid[b]))
-        who, where = np.unique(np.concatenate([*ids, np.zeros(0, np.int64)]), return_inverse=True)
-        total = np.zeros(len(who), np.int64)
-        np.add.at(total, where, np.concatenate([*sums, np.zeros(0, np.int64)]))
-        e = np.array(edges, np.int64).reshape(-1, 2)
+            if not len(i):
+                continue
+            who, at = np.unique(np.r_[i, j], return_inverse=True)
+            for k in who.tolist():
+                if keys[k] is None:
+                    keys[k] = signs.keys(units[k])
+            held = np.stack([keys[k] for k in who.tolist()])
+            for t in range(int(table[i].max())):  # pairs that met in an earlier table count there
+                new = (held[at[: len(i)], t] != held[at[len(i) :], t]) | (table[i] <= t)
+                i, j, at = i[new], j[new], np.r_[at[: len(new)][new], at[len(new) :][new]]
+            np.add.at(total, i, n[j])
+            np.add.at(total, j, n[i])
+            forest.add(i, j)
+        who, e = np.flatnonzero(total), forest.pairs()
         no = lambda k: pa.nulls(k, pa.int64())
-        cols = [(pa.array(who), pa.array(e[:, 0])), (no(len(who)), pa.array(e[:, 1])), (pa.array(total), no(len(e)))]
+        cols = [(pa.array(cid[who]), pa.array(cid[e[:, 0]])), (no(len(who)), pa.array(cid[e[:, 1]])), (pa.array(total[who]), no(len(e)))]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in cols], ["a", "b", "n"])
 
-    names = ("cid", "n", "keys", "unit", "block", "cross")
+    names = ("cid", "n", "block", "cross")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {k: [] for k in names}
+        held: dict[str, list] = {k: [] for k in (*names, "v")}
         key = np.zeros((0, 4), np.int64)
         for b in batches:
             key = np.r_[key, np.stack([b.column(c).to_numpy() for c in ("t", "group", "key", "pair")], axis=1)]
             for k in names:
                 held[k] += b.column(k).to_pylist()
-            if len(key) < 1 << 14:
+            held["v"] += _vectors(b.column("v"))
+            if len(key) < 1 << 13:
                 continue
             name = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
             if cut := int(np.searchsorted(name, name[-1])):
@@ -147,25 +192,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     keyed = rows.withColumn("h1", F.when(F.col("good"), one)).withColumn("h2", F.when(F.col("good"), two))
     classes = keyed.where("good").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    bits, tables = table_shape(classes.count(), threshold, recall)
-    sketched = classes.select("cid", "n", "label", "v").mapInArrow(_sketch(bits, tables, seed), "cid long, n long, label string, dim int, keys binary, unit binary")
-    sketched = materialise(sketched.withColumn("group", F.xxhash64("label", "dim")), "sketched")
-    word = lambda t: F.conv(F.hex(F.reverse(F.substring("keys", 4 * t + 1, 4))), 16, 10).cast("long")
-
-    def dealt(*columns: str) -> DataFrame:
-        return sketched.select(*columns, "group", F.posexplode(F.array(*[word(t) for t in range(tables)])).alias("t", "key")).withColumn("t", F.col("t").cast("long"))
-
-    groups = dealt().groupBy("t", "group", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / hot).cast("long")).drop("m")
-    met = dealt("cid", "n", "keys", "unit").join(groups, ["t", "group", "key"]).withColumn("block", F.pmod(F.xxhash64("cid", "t"), F.col("blocks")))
+    count, rows_of = classes.agg(F.count("*"), F.sum("n")).first()
+    bits, tables = table_shape(count, threshold, recall)
+    signs = Signs(bits, tables, seed)
+    sketched = classes.select("cid", "v").mapInArrow(_sketch(signs), "cid long, keys array<bigint>")
+    sketched = materialise(sketched, "sketched")
+    classes = classes.withColumn("group", F.xxhash64("label", F.size("v")))
+    # Which buckets a class is in, without its vector; buckets of one class drop out before vectors travel.
+    dealt = sketched.select("cid", F.posexplode("keys").alias("t", "key")).join(classes.select("cid", "group"), "cid").withColumn("t", F.col("t").cast("long"))
+    dealt = materialise(dealt.select("cid", "t", "group", "key"), "dealt")
+    groups = dealt.groupBy("t", "group", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / hot).cast("long"))
+    met = hub_join(dealt, materialise(groups, "groups"), ["t", "group", "key"], "m", count * tables).withColumn("block", F.pmod(F.xxhash64("cid", "t"), F.col("blocks")))
+    met = materialise(met.groupBy("cid").agg(F.collect_list(F.struct("t", "key", "block", "blocks")).alias("in")), "met")
+    met = classes.select("cid", "n", "v", "group").join(met, "cid").select("cid", "n", "v", "group", F.explode("in").alias("at")).select("cid", "n", "v", "group", "at.*")
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
-    met = met.select("t", "group", "key", F.explode(pair).alias("pair"), "cid", "n", "keys", "unit", "block", "blocks").select("t", "group", "key", "pair", "cid", "n", "keys", "unit", "block", (F.expr("pair div blocks") != F.expr("pair % blocks")).alias("cross"))
-    found = met.repartition("t", "group", "key", "pair").sortWithinPartitions("t", "group", "key", "pair").mapInArrow(_verify(threshold, tables), "a long, b long, n long")
+    met = met.select("t", "group", "key", F.explode(pair).alias("pair"), "cid", "n", "v", "block", "blocks").select("t", "group", "key", "pair", "cid", "n", "v", "block", (F.expr("pair div blocks") != F.expr("pair % blocks")).alias("cross"))
+    found = met.repartition("t", "group", "key", "pair").sortWithinPartitions("t", "group", "key", "pair").mapInArrow(_verify(threshold, signs), "a long, b long, n long")
     found = materialise(found, "found")
     counts = found.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     linked = connected_components(found.where("b is not null").select("a", "b"))
     named = classes.select("cid", "h1", "h2", "n", "first").join(counts, "cid", "left").join(linked, F.col("cid") == F.col("node"), "left").withColumn("class", F.coalesce("component", "cid"))
-    least = named.groupBy("class").agg(F.min("first").alias("low"))
-    named = materialise(named.join(least, "class").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "low"), "named")
-    out = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
+    least = named.groupBy("class").agg(F.min("first").alias("low"), F.count("*").alias("members"))
+    named = hub_join(named, materialise(least, "least"), "class", "members", count)
+    named = materialise(named.select("h1", "h2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "low"), "named")
+    own = hub_join(keyed.where("good").select("vec_id", "h1", "h2"), named, ["h1", "h2"], "n", rows_of or 0).select("vec_id", "links", "low")
+    out = own.unionByName(keyed.where("not good").select("vec_id", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("low")))
     component = F.coalesce("low", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

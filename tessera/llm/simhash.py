@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import hub_join, materialise, text_bytes
 from .components import connected_components
 
-#: Fingerprints of one key that are compared in one group.
-HOT = 8192
+#: Fingerprints of one key that are compared in one group, and unrelated ones that a key may hold on average.
+HOT, CROWD = 8192, 512
 #: Shifts tried on all runs of a task at once at least, and machine words of lanes that more of them must be worth; what
 #: is left is taken run by run. Runs that have become one class drop out every so many shifts.
 SHIFTS, FEW = 8, 64
@@ -238,12 +238,22 @@ def _compare(radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int, spare: int = 2, hot: int = HOT) -> DataFrame:
+def spare_blocks(n: int, radius: int) -> int:
+    """Equal blocks that make a key, of radius + spare blocks. More of them make keys longer and buckets smaller: as many as
+    keep CROWD unrelated fingerprints of n in a key, two at least."""
+    spare = 2
+    while spare < 8 and n > CROWD << (64 * spare // (radius + spare)):
+        spare += 1
+    return spare
+
+
+def fingerprint_links(distinct: DataFrame, radius: int, spare: int | None = None, hot: int = HOT) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every class of the graph "differs in ``radius`` bits or fewer".
 
-    ``spare``: equal blocks that make a key, of radius + spare blocks. More of them make keys longer and buckets
-    smaller, for larger tables.
+    ``spare``: see ``spare_blocks``, which gives it by the number of fingerprints unless it is set.
     """
+    count = distinct.count()
+    spare = spare_blocks(count, radius) if spare is None else spare
     blocks = radius + spare
     edges = [64 * i // blocks for i in range(blocks + 1)]
     fp = F.col("fingerprint")
@@ -256,8 +266,8 @@ def fingerprint_links(distinct: DataFrame, radius: int, spare: int = 2, hot: int
         keys.append(key)
     dealt = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
     # A key with a single fingerprint has no pair; one with many is split into blocks.
-    groups = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    met = dealt.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("fingerprint", "key"), F.col("blocks")).cast("int"))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / hot).cast("int"))
+    met = hub_join(dealt, materialise(groups, "keys"), "key", "n", count * len(keys)).withColumn("block", F.pmod(F.xxhash64("fingerprint", "key"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o))
     met = met.select("key", F.explode(pair).alias("pair"), "fingerprint")
     return met.repartition("key", "pair").sortWithinPartitions("key", "pair", "fingerprint").mapInArrow(_compare(radius), "a long, b long")
@@ -271,9 +281,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
     an empty table; other columns are not read.
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     linked = connected_components(fingerprint_links(classes.select("fingerprint"), radius))
-    named = classes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("class"))
-    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = materialise(named.join(least, "class").select(F.col("fingerprint").alias("f"), "component_id"), "named")
-    return fps.join(named, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
+    named = classes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", "n", F.coalesce("component", "fingerprint").alias("class"))
+    least = named.groupBy("class").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    count, rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = materialise(hub_join(named, materialise(least, "least"), "class", "members", count).select("fingerprint", "n", "component_id"), "named")
+    return hub_join(fps, named, "fingerprint", "n", rows).select("doc_id", "fingerprint", "component_id")

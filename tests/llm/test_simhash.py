@@ -110,3 +110,10 @@ def test_hot_keys_are_split(spark):
         groups.setdefault(k, []).append(x)
     for xs in groups.values():
         assert {comp.get(x, x) for x in xs} == {min(xs)}
+
+
+def test_keys_grow_with_the_table():
+    assert simhash.spare_blocks(10**6, 4) == 2
+    for n in (10**9, 10**10, 10**11, 10**12):
+        spare = simhash.spare_blocks(n, 4)
+        assert n <= simhash.CROWD << (64 * spare // (4 + spare)) and spare <= 8
