@@ -2,8 +2,9 @@
 
 1. Rows are dealt to virtual partitions by a keyed hash, with their position in the input as part of the key.
 2. How many rows of partition p go to shard s is drawn exactly: a matrix with the partitions' counts as row sums and
-   the shards' sizes as column sums, hypergeometric as the counts of a uniform permutation are. Two levels (groups of
-   partitions, then partitions of a group) keep each draw's chain short; the second level runs in parallel.
+   the shards' sizes as column sums, hypergeometric as the counts of a uniform permutation are. A tree of groups of FAN
+   partitions keeps each chain of draws short: a group's share of every shard is drawn first, then that of its FAN parts, all
+   groups of a level in parallel.
 3. Rows are permuted inside their partition and cut by the matrix (``local permutation``), exchanged, and permuted
    again inside the shard: by buckets of a second key, whose counts give each bucket its first slot, so that no
    shard has to fit into one task.
@@ -20,6 +21,8 @@ from .common import materialise
 
 #: Rows of a virtual partition, and of a bucket inside a shard.
 ROWS_PER_PART = 20_000
+#: Children of a node in the tree of partitions.
+FAN = 8
 #: Half width, in standard deviations, of the support that a draw walks; beyond it lies less than a double resolves.
 REACH = 9
 
@@ -92,7 +95,7 @@ def communication_matrix(df: DataFrame, rows: str, columns: str, key: str, seed:
     return df.withColumn("matrix", F.aggregate(F.col(rows), start, one, lambda a: a["all"]))
 
 
-def shard(df: DataFrame, n_shards: int, seed: int = 7, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, seed: int = 7, rows_per_part: int = ROWS_PER_PART, fan: int = FAN) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in its shard).
 
     Shard sizes differ by one at most, the first ones being larger. Nulls, repeated rows and ties need no care, as a
@@ -104,22 +107,23 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, rows_per_part: int = ROWS
     base = materialise(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r"), F.monotonically_increasing_id().alias("id")), "numbered")
     total = base.count()
     parts = max(1, math.ceil(total / rows_per_part))
-    groups = max(1, math.isqrt(parts))
     dealt = base.select("r", "id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).alias("p"), F.xxhash64("id", F.lit(seed + 1)).alias("u"))
-    counts = dealt.groupBy("p").agg(F.count("*").alias("n")).withColumn("g", F.pmod("p", F.lit(groups)))
+    counts = materialise(dealt.groupBy("p").agg(F.count("*").cast("bigint").alias("n")), "counts")
 
     sizes = F.array(*[F.lit(total // n_shards + (s < total % n_shards)).cast("bigint") for s in range(n_shards)])
-    entry = F.struct(F.col("g").cast("bigint").alias("p"), F.col("n").cast("bigint").alias("n"))
-    top = counts.groupBy("g").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(entry)).alias("rows")).where(F.size("rows") > 0)
-    top = communication_matrix(top.withColumn("cols", sizes).withColumn("key", F.lit(-1).cast("bigint")), "rows", "cols", "key", seed + 2)
-    # A fresh stage for the second level: one row for each group of partitions.
-    top = materialise(top.select(F.explode("matrix").alias("m")).select(F.col("m.p").alias("g"), F.col("m.to").alias("cols")), "matrix")
-    entry = F.struct(F.col("p").cast("bigint").alias("p"), F.col("n").cast("bigint").alias("n"))
-    low = counts.groupBy("g").agg(F.array_sort(F.collect_list(entry)).alias("rows")).join(top, "g")
-    low = low.select(F.col("g").alias("key"), "rows", "cols").repartition(groups, "key")  # small rows, long draws: not to be coalesced
-    low = communication_matrix(low, "rows", "cols", "key", seed + 3)
-    ends = F.aggregate(F.col("m.to"), F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint"))))
-    cuts = materialise(low.select(F.explode("matrix").alias("m")).select(F.col("m.p").alias("p"), ends.alias("ends")), "cuts")
+    to = spark.range(1).select(F.col("id").alias("p"), sizes.alias("to"))
+    levels = next(k for k in range(1, 64) if fan**k >= parts)
+    for level in range(1, levels + 1):
+        # One row for each node of the level above, with its children's counts and its own share of the shards.
+        node = counts.groupBy(F.expr(f"p div {fan ** (levels - level)}").alias("p")).agg(F.sum("n").cast("bigint").alias("n"))
+        entry = F.struct("p", "n")
+        above = node.groupBy(F.expr(f"p div {fan}").alias("key")).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+        above = above.join(to.select(F.col("p").alias("key"), F.col("to").alias("cols")), "key")
+        above = above.repartition(max(1, min(fan ** (level - 1), parts // fan)), "key")  # small rows, long draws: not to be coalesced
+        drawn = communication_matrix(above, "rows", "cols", "key", seed + 16 + level)
+        to = materialise(drawn.select(F.explode("matrix").alias("m")).select(F.col("m.p").alias("p"), F.col("m.to").alias("to")), "matrix")
+    ends = F.aggregate(F.col("to"), F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint"))))
+    cuts = materialise(to.select("p", ends.alias("ends")), "cuts")
 
     ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy("u", "id")) - 1)
     buckets = max(1, math.ceil(total / n_shards / rows_per_part))

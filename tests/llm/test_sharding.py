@@ -46,3 +46,40 @@ def test_shuffle_is_even(spark):
     shard = np.array([r.shard for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id)])
     first = np.bincount(shard[: len(shard) // 2], minlength=4) / (len(shard) / 2)
     assert abs(first - 0.25).max() < 0.05
+
+
+def test_matrix_follows_the_joint_law(spark):
+    """Rows 2, 1 and 2 over columns 2 and 3: each of the matrices as often as a uniform permutation makes it."""
+    from itertools import permutations
+
+    n = 6000
+    df = spark.range(n).select(F.col("id").alias("key"), F.expr("array(named_struct('p', 0L, 'n', 2L), named_struct('p', 1L, 'n', 1L), named_struct('p', 2L, 'n', 2L))").alias("rows"), F.expr("array(2L, 3L)").alias("cols"))
+    got = sharding.communication_matrix(df, "rows", "cols", "key", 3).select(F.transform("matrix", lambda m: m["to"]).alias("m"))
+    seen = {tuple(tuple(x) for x in r.m): r["count"] / n for r in got.groupBy("m").count().collect()}
+    want, of = {}, [0, 0, 1, 2, 2]
+    for order in permutations(range(5)):
+        m = [[0, 0], [0, 0], [0, 0]]
+        for at, i in enumerate(order):
+            m[of[i]][at >= 2] += 1
+        key = tuple(map(tuple, m))
+        want[key] = want.get(key, 0) + 1 / 120
+    assert set(seen) == set(want) and all(abs(seen[k] - want[k]) < 0.025 for k in want)
+
+
+def test_tree_of_any_fan(spark):
+    """Three levels: every partition's rows are dealt whole, and each shard has its size."""
+    df = spark.range(700).withColumnRenamed("id", "doc_id")
+    for fan in (2, 5, 100):
+        rows = sharding.shard(df, 6, rows_per_part=40, fan=fan).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(700))
+        assert sorted(np.bincount([r.shard for r in rows]).tolist()) == [116, 116, 117, 117, 117, 117]
+
+
+def test_texts_travel_with_clashing_columns(spark):
+    rows = [(i, f"text {i} " * (i % 50), "shard?", 3.5, [i]) for i in range(300)] + [(7, None, None, None, None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, Shard string, u double, ends array<long>")
+    out = sharding.shard(df, 7, rows_per_part=30)
+    assert out.columns == ["doc_id", "text", "u", "ends", "shard", "slot"]
+    got = [(r.doc_id, r.text, r.u, tuple(r.ends or ())) for r in out.collect()]
+    key = lambda x: (x[0], x[1] or "")
+    assert sorted(got, key=key) == sorted([(i, t, u, tuple(e or ())) for i, t, _, u, e in rows], key=key)
