@@ -83,4 +83,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_bpe, op2_toxicity, op3_packing, op4_sharding, op5_simhash, op6_pii, op7_urls, op8_jpeg, op9_embeddings, op10_substring)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL where the result follows from the contract alone. The SQL of op9 takes every pair of a label, so it holds where the
+#: recall of the tables is whole, as on the small tables.
+ORACLE_SQL: dict[str, str] = {
+    "op9_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM v),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+        reach(s, t) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.s, l.y FROM reach r JOIN links l ON r.t = l.x),
+        component AS (SELECT s, min(t) AS component_id FROM reach GROUP BY s),
+        counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+        SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept
+        FROM embeddings m JOIN component c ON m.vec_id = c.s LEFT JOIN counted k ON m.vec_id = k.x
+    """,
+    "op10_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM starts),
+        firsts AS (SELECT words, min(doc_id) AS first FROM windows GROUP BY words HAVING count(*) > 1),
+        covered AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (words) WHERE first < doc_id),
+        single AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        kept AS (
+            SELECT e.doc_id, count(c.i) AS n_removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE c.i IS NULL) AS kept
+            FROM single e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
+}
