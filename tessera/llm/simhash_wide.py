@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import HUBS, hub_join, materialise, spread_join, text_bytes
 from .components import connected_components
-from .simhash import _CHUNK, HOT, links_in_runs
+from .simhash import _CHUNK, _Union, links_in_runs
 
 WORDS, BUCKET, RECALL = 4, 32.0, 0.95
+#: Fingerprints of one key that are compared in one group.
+HOT = 4096
 #: Share of the pairs at the similarity that the radius of candidates holds.
 REACH = 0.99
 
@@ -118,72 +120,104 @@ def _keys(bits: int, tables: int, words: int, seed: int):
     return run
 
 
-def _forest(likely: int, far: int):
-    """Candidates that span each run: likely links first, so that few of them fail."""
-
-    def pairs(run: np.ndarray, cid: np.ndarray, fp: np.ndarray, own: np.ndarray) -> np.ndarray:
-        found = links_in_runs(run, fp, likely)
-        return np.array(found + links_in_runs(run, fp, far, found), np.int64).reshape(-1, 2)
-
-    return pairs
-
-
-def _between(far: int):
-    """All candidates of each run whose ends have different components so far."""
-
-    def pairs(run: np.ndarray, cid: np.ndarray, fp: np.ndarray, own: np.ndarray) -> np.ndarray:
-        out = [np.zeros((0, 2), np.int64)]
-        ends = np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            for i in range(s, e - 1):
-                other = i + 1 + np.flatnonzero(own[i + 1 : e] != own[i])
-                near = other[np.bitwise_count(fp[other] ^ fp[i]).sum(axis=1, dtype=np.int64) <= far]
-                if len(near):
-                    out.append(np.stack([np.full(len(near), i), near], axis=1))
-        return np.concatenate(out)
+def _runs(key: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
 
-    return pairs
 
+def _forest(likely: int, far: int):
+    """(key, pair, cid, fp) -> candidates that span each run: likely links first, so that few of them fail."""
 
-def _compare(pairs, words: int):
-    def links(key: np.ndarray, cid: np.ndarray, own: np.ndarray, fp: list[bytes]) -> pa.RecordBatch:
-        run = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
-        found = cid[pairs(run, cid, np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), words), own)]
+    def links(key: np.ndarray, cid: np.ndarray, fp: list[bytes]) -> pa.RecordBatch:
+        run, own = _runs(key), np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), WORDS)
+        found = links_in_runs(run, own, likely)
+        found = cid[np.array(found + links_in_runs(run, own, far, found), np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cid, own, fp = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        key, cid, fp = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
         for b in batches:
             key = np.r_[key, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)]
-            cid, own = np.r_[cid, b.column(2).to_numpy()], np.r_[own, b.column(4).to_numpy()]
+            cid = np.r_[cid, b.column(2).to_numpy()]
             fp += b.column(3).to_pylist()
             if len(fp) < 1 << 16:
                 continue
-            name = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
+            name = _runs(key)
             if cut := int(np.searchsorted(name, name[-1])):
-                yield links(key[:cut], cid[:cut], own[:cut], fp[:cut])
-                key, cid, own, fp = key[cut:], cid[cut:], own[cut:], fp[cut:]
+                yield links(key[:cut], cid[:cut], fp[:cut])
+                key, cid, fp = key[cut:], cid[cut:], fp[cut:]
         if fp:
-            yield links(key, cid, own, fp)
+            yield links(key, cid, fp)
+
+    return run
+
+
+def between(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, far: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of one run that join its parts: every candidate whose ends are still apart is compared by its sets."""
+    union, out = _Union(len(part)), []
+    first: dict[int, int] = {}
+    for i, p in enumerate(part.tolist()):
+        union.join(first.setdefault(p, i), i)
+    root = np.fromiter((union.root(i) for i in range(len(part))), np.int64, len(part))
+    for i in range(len(part) - 1):
+        other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        for j in other[np.bitwise_count(fp[other] ^ fp[i]).sum(axis=1, dtype=np.int64) <= far].tolist():
+            if root[i] != root[j] and similar(sets[i], sets[j], similarity):
+                out.append((i, j))
+                low, high = sorted((int(root[i]), int(root[j])))
+                root[root == high] = low
+    return out
+
+
+def _between(far: int, similarity: float):
+    """(key, pair, cid, fp, part, shingles) -> the links that join parts of a run, a forest of them for each run."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len({r[4] for r in rows}) < 2:
+            return []
+        fp = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), WORDS)
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        return [tuple(sorted((rows[i][2], rows[j][2]))) for i, j in between(fp, sets, np.array([r[4] for r in rows]), far, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            found = []
+            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and held[0][:2] != r[:2]:
+                    found += links(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found = links(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _candidates(classes: DataFrame, bits: int, tables: int, seed: int, hot: int, pairs) -> DataFrame:
-    """Distinct (a, b), a < b, of ``classes`` (cid, fp, own) that meet under a key."""
-    dealt = classes.select("cid", "fp").mapInArrow(_keys(bits, tables, WORDS, seed), "cid long, fp binary, keys array<bigint>").select("cid", "fp", F.explode("keys").alias("key"))
-    dealt = materialise(dealt, "dealt")
-    # Most keys hold several fingerprints but few hold very many: only these are looked up, and split into blocks.
-    crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    met = dealt.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
+def _met(classes: DataFrame, bits: int, tables: int, seed: int, hot: int) -> DataFrame:
+    """``classes`` (cid, fp and others) under the keys of all tables, as (key, pair, ...): crowded keys are pairs of blocks."""
+    own = classes.columns
+    keyed = classes.select("cid", "fp").mapInArrow(_keys(bits, tables, WORDS, seed), "cid long, fp binary, keys array<bigint>").select("cid", "fp", F.explode("keys").alias("key"))
+    dealt = materialise(keyed, "dealt")
+    # Most keys hold several fingerprints but few hold very many: only these are looked up, the largest of them in a broadcast.
+    crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    crowded = materialise(crowded.select("key", "n", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "crowded")
+    hub = F.col("n") * HUBS > F.lit(dealt.count())
+    hubs = F.broadcast(crowded.where(hub).select("key", F.col("blocks").alias("most")))
+    met = dealt.join(hubs, "key", "left")
+    rest = crowded.where(~hub).select("key", "blocks")
+    met = met.where("most is not null").withColumn("blocks", F.col("most")).unionByName(met.where("most is null").join(rest, "key", "left")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o))
     met = met.select("key", F.explode(pair).alias("pair"), "cid", "fp")
-    if "own" in classes.columns:
-        met = met.join(classes.select("cid", "own"), "cid")
-    else:
-        met = met.withColumn("own", F.col("cid"))
-    met = met.select("key", "pair", "cid", "fp", "own").repartition("key", "pair").sortWithinPartitions("key", "pair", "cid")
-    return met.mapInArrow(_compare(pairs, WORDS), "a long, b long").distinct()
+    return met.join(classes.drop("fp"), "cid") if len(own) > 2 else met
+
+
+def _carried(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """``met`` with the other columns of ``classes``, by (key, pair)."""
+    of = met.groupBy("cid").agg(F.collect_list(F.struct("key", "pair")).alias("in"))  # as many as tables, but for crowded keys
+    out = classes.join(of, "cid").select(F.explode("in").alias("at"), *classes.columns).select("at.key", "at.pair", *classes.columns)
+    return out.repartition("key", "pair").sortWithinPartitions("key", "pair", "cid")
 
 
 def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -200,10 +234,20 @@ def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: floa
                 keep.append(similar(shingle_set(x, shingle), held, similarity))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    met = found.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+    total = found.count()
+    met = spread_join(found.select("a", "b"), texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a", total)
+    met = spread_join(found.select("a", "b"), texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b", total).join(met, ["a", "b"])
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in text_bytes(b.column(1))], pa.binary())], ["cid", "shingles"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, seed: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, of which one of each near-duplicate group stays: that of the smallest id.
 
@@ -212,7 +256,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     similarity. An empty table gives an empty table.
 
     First each key gives pairs that span its candidates. Where all of them are links, the group is done; where some aren't,
-    all candidates between the parts are compared too, so no pair is judged by the estimate.
+    the shingles of its texts travel to their keys, and all candidates between the parts are compared there, so no pair is judged
+    by the estimate and only links that join parts leave a task.
     """
     own = docs.columns
     ident = [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit(seed), id_col).alias("k2")]
@@ -231,7 +276,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     classes = materialise(rows.groupBy("fp", "same").agg(F.min(who).alias("who")).drop("same").withColumn("cid", F.monotonically_increasing_id()), "classes")
     likely, bits, tables = settings(classes.count(), similarity)
     far = reach(similarity)
-    found = materialise(_candidates(classes, bits, tables, seed, hot, _forest(likely, far)), "candidates")
+    met = _met(classes.select("cid", "fp"), bits, tables, seed, hot).repartition("key", "pair").sortWithinPartitions("key", "pair", "cid")
+    found = materialise(met.mapInArrow(_forest(likely, far), "a long, b long").distinct(), "candidates")
     ends = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).distinct()
     asked = classes.join(ends, "cid").select("cid", "who.k1", "who.k2")
     texts = docs.select(*ident, F.col(text_col).alias("text")).join(asked, ["k1", "k2"]).groupBy("cid").agg(F.first("text").alias("text"))
@@ -241,9 +287,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     parts = whole.join(connected_components(links), F.col("cid") == F.col("node"), "left").select("cid", "within", F.coalesce("component", "cid").alias("own"))
     parts = materialise(parts, "parts")
     broken = parts.groupBy("within").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("within")
-    open_ = materialise(classes.select("cid", "fp").join(parts.join(broken, "within").select("cid", "own"), "cid"), "open")
-    more = _candidates(open_, bits, tables, seed, hot, _between(far)).join(found, ["a", "b"], "left_anti")
-    linked = connected_components(links.unionByName(_verified(more, texts, shingle, similarity)))
+    open_ = materialise(classes.select("cid", "fp").join(parts.join(broken, "within").select("cid", F.col("own").alias("part")), "cid"), "open")
+    # Only keys under which parts meet, and of them the shingles themselves, so that no candidate has to leave its task.
+    met = materialise(_met(open_, bits, tables, seed, max(2, hot // 8)).drop("fp"), "met")
+    ends = met.groupBy("key", "pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    apart = hub_join(met, materialise(ends.select("key", "pair", "n"), "apart"), ["key", "pair"], "n", met.count()).select("key", "pair", "cid")
+    sets = texts.join(open_.select("cid"), "cid").mapInArrow(_sets(shingle), "cid long, shingles binary")
+    more = _carried(apart, open_.join(sets, "cid").select("cid", "fp", "part", "shingles")).mapInArrow(_between(far, similarity), "a long, b long")
+    linked = connected_components(links.unionByName(more.distinct()))
     named = classes.join(linked, F.col("cid") == F.col("node"), "left").select(F.coalesce("component", "cid").alias("class"), "who")
     stays = materialise(named.groupBy("class").agg(F.min("who").alias("who")).select("who.k1", "who.k2", F.lit(True).alias("stays")), "stays")
     # What becomes of each row that does not simply stay: it goes, or one of several equal rows stays.

@@ -110,3 +110,43 @@ def test_links_that_no_spanning_pair_shows(spark):
                 up = [a if u == b else u for u in up]
     got = {r.doc_id for r in simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert len(set(up) - got) == 0 and len(got - set(up)) <= 2
+
+
+def test_recall_and_precision_about_the_similarity(spark):
+    """Pairs of texts at similarities of 0.75 to 0.85: at least nine in ten of those at 0.8 or more lose one, the others none."""
+    rng = random.Random(77)
+    rows, at = [], {}
+    for i in range(240):
+        words = [f"{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        other = list(words)
+        for k in sorted(rng.sample(range(40), rng.randint(3, 6))):
+            other[5 * k + 2] = f"x{rng.randrange(10**6)}"  # changes five shingles
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = (simhash_wide.shingle_set(t.encode(), 5) for _, t in rows[-2:])
+        both = len(np.intersect1d(a, b))
+        at[i] = both / (len(a) + len(b) - both)
+    assert min(at.values()) < 0.78 and max(at.values()) > 0.83
+    kept = {r.doc_id for r in simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    found = {i for i in at if not {2 * i, 2 * i + 1} <= kept}
+    near = {i for i, s in at.items() if s >= 0.8}
+    assert found <= near and len(found) >= 0.9 * len(near)
+
+
+def test_parts_meet_by_their_sets():
+    """Against all pairs: the links join what the pairs at the similarity join, and no other."""
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        sets = [np.unique(rng.choice(60, rng.integers(20, 40)).astype(np.uint64)) for _ in range(24)]
+        fp, part = np.zeros((24, simhash_wide.WORDS), np.uint64), rng.integers(0, 9, 24)
+        got = simhash_wide.between(fp, sets, part, 4, 0.5)
+        assert all(simhash_wide.similar(sets[i], sets[j], 0.5) for i, j in got)
+        ends = lambda pairs: classes(24, [*pairs, *((i, j) for i in range(24) for j in range(i) if part[i] == part[j])])
+        assert ends(got) == ends([(i, j) for i in range(24) for j in range(i) if simhash_wide.similar(sets[i], sets[j], 0.5)])
+
+
+def classes(n, pairs):
+    up = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            up[i] = up[j] = min(up[i], up[j])
+    return up
