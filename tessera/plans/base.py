@@ -38,7 +38,8 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = levels(spark, sf_dir)
+    """Levels are written, a row for an entity and period: the count of periods and the steps after it read that, not the items."""
+    p = written(levels(spark, sf_dir), "levels")
     return panel.complete_entities(p, "tid", "q", panel.all_present(PARTS, "total"), p.select("q").distinct().count())
 
 
@@ -52,12 +53,15 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(features.scaled(windows(spark, sf_dir), "x", SIZE), "scaled")
 
 
-def near(spark: SparkSession, sf_dir: str, metric: str = "cosine", k: int = NEAR) -> DataFrame:
-    return written(graph.nearest(scaled(spark, sf_dir), "q", "tid", "x", k, metric), "near")
+def near(spark: SparkSession, sf_dir: str, metric: str = "cosine", k: int = NEAR, rows: DataFrame | None = None) -> DataFrame:
+    """Of the scaled ``rows``, built here unless the caller has them."""
+    return written(graph.nearest(scaled(spark, sf_dir) if rows is None else rows, "q", "tid", "x", k, metric), "near")
 
 
-def edges(spark: SparkSession, sf_dir: str, metric: str = "cosine", mutual: bool = True) -> DataFrame:
-    return written(graph.weighted_knn(near(spark, sf_dir, metric), "q", NEAR, LEAST, mutual), "edges")
+def edges(spark: SparkSession, sf_dir: str, metric: str = "cosine", mutual: bool = True, rows: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Of neighbours ``found`` among the scaled ``rows``, each built here unless the caller has it."""
+    found = near(spark, sf_dir, metric, rows=rows) if found is None else found
+    return written(graph.weighted_knn(found, "q", NEAR, LEAST, mutual), "edges")
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ranking, stats
 
 from . import base as B
-from .registry import query
+from .catalogue import query
 
 DAY = "CAST(q AS VARCHAR) AS q"
 _TR = """tr AS (SELECT * FROM (SELECT tid, q, lag(ty) OVER w AS f, ty AS t, count(*) OVER a < 3 AS censored, min(ty) OVER a = max(ty) OVER a AS same, greatest(0.0, sum(conf) OVER b - 3) AS sup FROM ty
@@ -42,7 +42,7 @@ def start_end_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that ship for one order are neighbours; all orders count, though the SQL of the queries on it takes one in ten."""
+    """Entities that ship for one order are neighbours."""
     i = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     return i.alias("a").join(i.alias("b"), "l_orderkey").where("a.l_suppkey <> b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
 
@@ -52,7 +52,7 @@ def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT round(ps, 6) AS p_same, round(po, 6) AS p_other, round((po - ps) / sqrt(p * (1 - p) * (1.0 / ns + 1.0 / no_)), 6) AS z, round(tm, 6) AS to_mode FROM (SELECT avg(CASE WHEN now = mode THEN mv END) AS ps, avg(CASE WHEN now <> mode THEN mv END) AS po, avg(mv) AS p, count(CASE WHEN now = mode THEN 1 END) AS ns, count(CASE WHEN now <> mode THEN 1 END) AS no_, avg(CASE WHEN mv = 1 THEN CASE WHEN nxt = mode THEN 1.0 ELSE 0 END END) AS tm FROM
         (SELECT s.*, mode, CASE WHEN now <> nxt THEN 1.0 ELSE 0.0 END AS mv FROM (SELECT tid, q, ty AS now, lead(ty) OVER (PARTITION BY tid ORDER BY q) AS nxt FROM ty) s JOIN nm USING (tid, q) WHERE nxt IS NOT NULL))""",
         "ty",
-        recursive="rd AS MATERIALIZED (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey AND l_orderkey % 10 = 0), nm AS MATERIALIZED (SELECT tid, q, ty AS mode FROM (SELECT src AS tid, q, ty, row_number() OVER (PARTITION BY src, q ORDER BY count(*) DESC, ty) AS rn FROM rd JOIN ty ON ty.tid = dst GROUP BY src, q, ty) WHERE rn = 1)",
+        recursive="rd AS MATERIALIZED (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey), nm AS MATERIALIZED (SELECT tid, q, ty AS mode FROM (SELECT src AS tid, q, ty, row_number() OVER (PARTITION BY src, q ORDER BY count(*) DESC, ty) AS rn FROM rd JOIN ty ON ty.tid = dst GROUP BY src, q, ty) WHERE rn = 1)",
     )
 )
 def spatial_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph, indices, stats
 
 from . import base as B
-from .registry import query
+from .catalogue import query
 
 SIZE = 64
 B.STEPS["en"] = (["ev"], "SELECT 0 AS q, a.id AS src, b.id AS dst, round(1 - list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)), 12) AS d FROM ev a JOIN ev b ON a.id <> b.id")

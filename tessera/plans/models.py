@@ -10,7 +10,7 @@ from tessera.operators import graph, model
 from tessera.sources.scratch import written
 
 from . import base as B
-from .registry import query
+from .catalogue import query
 
 K = B.TYPES
 PENALTY = 0.3
@@ -57,7 +57,8 @@ def viterbi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, q, d, type): smoothed features, pooled centres, penalised paths, codes by size in the last window."""
-    rows = graph.smoothed(B.scaled(spark, sf_dir), B.edges(spark, sf_dir), "q", "tid", "x", B.SIZE)
+    plain = B.scaled(spark, sf_dir)
+    rows = graph.smoothed(plain, B.edges(spark, sf_dir, rows=plain), "q", "tid", "x", B.SIZE)
     d = written(fitted(rows), "distances")
     paths = model.viterbi(d, "tid", "q", model.switch_penalty(d, PENALTY), K).select("tid", "q", F.col("type").alias("old"), "type")
     return model.renumbered(paths, "q", "type", K).join(d.select("tid", "q", "d"), ["tid", "q"])

@@ -9,7 +9,7 @@ from tessera.functions import scalar as S
 from tessera.operators import features, graph, panel
 
 from . import base as B
-from .registry import query
+from .catalogue import query
 
 X = [f"x{i}" for i in range(B.SIZE)]
 
@@ -310,7 +310,9 @@ def gravity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.steps(f"{EDGES} (SELECT q, src, dst, sum(w) / 3 AS w FROM (FROM gc UNION ALL FROM ge UNION ALL FROM gu) GROUP BY ALL)", "gc", "ge", "gu"))
 def fusion_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(graph.fusion([B.edges(spark, sf_dir), B.edges(spark, sf_dir, "euclid"), B.edges(spark, sf_dir, mutual=False)], "q"))
+    rows = B.scaled(spark, sf_dir)
+    near = B.near(spark, sf_dir, rows=rows)
+    return _edges(graph.fusion([B.edges(spark, sf_dir, found=near), B.edges(spark, sf_dir, "euclid", rows=rows), B.edges(spark, sf_dir, mutual=False, found=near)], "q"))
 
 
 @query(
@@ -333,13 +335,15 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = B.scaled(spark, sf_dir).select("q", "tid").join(B.places(spark, sf_dir).select("tid", "region"), "tid")
-    return graph.summary(B.edges(spark, sf_dir), nodes, "q", "tid", "region").select(B.day("q"), "edges", "degree_min", "degree_median", "degree_max", "isolates", B.r("within_region").alias("within_region"))
+    rows = B.scaled(spark, sf_dir)
+    nodes = rows.select("q", "tid").join(B.places(spark, sf_dir).select("tid", "region"), "tid")
+    return graph.summary(B.edges(spark, sf_dir, rows=rows), nodes, "q", "tid", "region").select(B.day("q"), "edges", "degree_min", "degree_median", "degree_max", "isolates", B.r("within_region").alias("within_region"))
 
 
 @query(B.steps(f"SELECT {Q}, round(sum(a * b) / count(*), 6) AS jaccard FROM (SELECT q, src, dst, max(a) AS a, max(b) AS b FROM (SELECT q, src, dst, 1 AS a, 0 AS b FROM gc UNION ALL SELECT q, src, dst, 0, 1 FROM ge) GROUP BY ALL) GROUP BY q", "gc", "ge"))
 def edge_jaccard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edge_jaccard(B.edges(spark, sf_dir), B.edges(spark, sf_dir, "euclid"), "q").select(B.day("q"), B.r("jaccard").alias("jaccard"))
+    rows = B.scaled(spark, sf_dir)
+    return graph.edge_jaccard(B.edges(spark, sf_dir, rows=rows), B.edges(spark, sf_dir, "euclid", rows=rows), "q").select(B.day("q"), B.r("jaccard").alias("jaccard"))
 
 
 @query(B.steps(f"{EDGES} gc WHERE CAST(('0x' || substr(md5(concat_ws('|', '5', least(src, dst), greatest(src, dst))), 1, 13)) AS BIGINT) / 4503599627370496.0 > 0.1", "gc"))
@@ -349,7 +353,8 @@ def edge_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.steps(f"SELECT tid, {Q}, {SPREAD} FROM sm", "sm"))
 def smoothed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(graph.smoothed(B.scaled(spark, sf_dir), B.edges(spark, sf_dir), "q", "tid", "x", B.SIZE), "tid", B.day("q"))
+    rows = B.scaled(spark, sf_dir)
+    return spread(graph.smoothed(rows, B.edges(spark, sf_dir, rows=rows), "q", "tid", "x", B.SIZE), "tid", B.day("q"))
 
 
 @query()

@@ -1,29 +1,14 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""All queries: importing this module fills the catalogue."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function by its name, with its SQL where there is one."""
+from . import custom, dynamics, evaluation, extended, models, panels  # noqa: F401  they register their queries
+from .catalogue import ORACLE_SQL, QUERIES
 
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["window_level_clr"](spark, sf_dir)
-
-
-from tessera.plans import custom, dynamics, evaluation, extended, models, panels  # noqa: E402, F401  they register their queries
