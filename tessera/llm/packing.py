@@ -235,8 +235,8 @@ def _winners(idf, width: int):
         own = [lots(weights, k) for k in range(2)]
         name = np.random.default_rng(2).permutation(len(weights))
         for b in batches:
-            seen = [np.unique(np.frombuffer(x.as_py(), f"<u{width}")) for x in b.column(2)]
-            won = [pa.array([int(name[t[k[t].argmin()]]) for t in seen], pa.int64()) for k in own]
+            ids = [np.frombuffer(x.as_py(), f"<u{width}") for x in b.column(2)]  # repeats of a term draw the same lot
+            won = [pa.array([int(name[t[k[t].argmin()]]) for t in ids], pa.int64()) for k in own]
             yield pa.RecordBatch.from_arrays([*b.columns, *won], ["rid", "doc_id", "ids", "w1", "w2"])
 
     return run
