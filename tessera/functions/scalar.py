@@ -74,3 +74,13 @@ def interpolate(c: Column, points: list[tuple[float, float]]) -> Column:
     for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
         out = F.when(c < x1, y0 + (y1 - y0) * (c - x0) / (x1 - x0)).otherwise(out)
     return F.when(c.isNotNull(), F.when(c <= points[0][0], points[0][1]).otherwise(out))
+
+
+def section_letter(c: Column, letters: str, aliases: str) -> Column:
+    """The capital that a code begins with, through an alphabet of aliases; empty where it begins with none."""
+    return F.translate(F.regexp_extract(c, r"^(\p{Lu})", 1), letters, aliases)
+
+
+def spaced_number(c: Column, digits: int, space: str = " ") -> Column:
+    """A number as text: decimal comma, thousands apart."""
+    return F.translate(F.format_number(c, digits), ",.", f"{space},")
