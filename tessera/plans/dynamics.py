@@ -139,10 +139,10 @@ def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_intervals(v, "k", "r", "v", 1)
 
 
-@query(B.steps("SELECT y.ty, CAST(y.y AS INTEGER) AS year, round(y.m, 4) AS level, round(y.m / z.m - 1, 6) AS growth FROM yy y LEFT JOIN yy z ON z.ty = y.ty AND z.y = y.y - 1", "cp", "ty", recursive="yy AS MATERIALIZED (SELECT ty, year(q) AS y, avg(total) AS m FROM cp JOIN (SELECT tid, arg_max(ty, q) AS ty FROM ty GROUP BY tid) USING (tid) GROUP BY 1, 2)"))
+@query(B.steps("SELECT y.ty, CAST(y.y AS INTEGER) AS year, round(y.m, 4) AS level, round(y.m / z.m - 1, 6) AS growth FROM yy y LEFT JOIN yy z ON z.ty = y.ty AND z.y = y.y - 1", "cp", "ty", recursive="yy AS MATERIALIZED (SELECT ty, year(q) AS y, median(total) AS m FROM cp JOIN (SELECT tid, arg_max(ty, q) AS ty FROM ty GROUP BY tid) USING (tid) GROUP BY 1, 2)"))
 def yoy_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = types(spark, sf_dir).groupBy("tid").agg(F.max_by("ty", "q").alias("ty"))
-    yearly = B.complete(spark, sf_dir).join(final, "tid").groupBy("ty", F.year("q").alias("year")).agg(F.avg("total").alias("m"))
+    yearly = B.complete(spark, sf_dir).join(final, "tid").groupBy("ty", F.year("q").alias("year")).agg(F.median("total").alias("m"))
     before = F.when(F.lag("year").over(Window.partitionBy("ty").orderBy("year")) == F.col("year") - 1, F.lag("m").over(Window.partitionBy("ty").orderBy("year")))
     return yearly.select("ty", "year", B.r("m", 4).alias("level"), B.r(F.col("m") / before - 1).alias("growth"))
 

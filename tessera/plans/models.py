@@ -58,7 +58,11 @@ def viterbi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, q, d, type): smoothed features, pooled centres, penalised paths, codes by size in the last window."""
     plain = B.scaled(spark, sf_dir)
-    rows = graph.smoothed(plain, B.edges(spark, sf_dir, rows=plain), "q", "tid", "x", B.SIZE)
+    return fit_rows(graph.smoothed(plain, B.edges(spark, sf_dir, rows=plain), "q", "tid", "x", B.SIZE))
+
+
+def fit_rows(rows: DataFrame) -> DataFrame:
+    """The fit of features (tid, q, x) as they are."""
     d = written(fitted(rows), "distances")
     paths = model.viterbi(d, "tid", "q", model.switch_penalty(d, PENALTY), K).select("tid", "q", F.col("type").alias("old"), "type")
     return model.renumbered(paths, "q", "type", K).join(d.select("tid", "q", "d"), ["tid", "q"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, custom, dynamics, evaluation, extended, models, panels  # noqa: F401  they register their queries
+from . import context, custom, dynamics, evaluation, extended, models, panels, refits  # noqa: F401  they register their queries
 from .catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
