@@ -81,6 +81,6 @@ def section_letter(c: Column, letters: str, aliases: str) -> Column:
     return F.translate(F.regexp_extract(c, r"^(\p{Lu})", 1), letters, aliases)
 
 
-def spaced_number(c: Column, digits: int, space: str = " ") -> Column:
+def spaced_number(c: Column, digits: int, space: str = "\u2009") -> Column:
     """A number as text: decimal comma, thousands apart."""
     return F.translate(F.format_number(c, digits), ",.", f"{space},")
