@@ -66,41 +66,59 @@ def s_dbw(df: DataFrame, vector: str, label: str, size: int) -> DataFrame:
     return scat.crossJoin(dens).select((F.col("mean_v") / F.col("v0") + F.col("t") / (F.col("k") * (F.col("k") - 1))).alias("S_Dbw"))
 
 
-def _labelled(edges: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:
-    """Edges without loops, larger weight of both directions, with the labels of both ends."""
-    both = edges.where("src <> dst").select("src", "dst", "w")
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
-    return both.join(labels.select(F.col(entity).alias("src"), F.col(label).alias("a")), "src").join(labels.select(F.col(entity).alias("dst"), F.col(label).alias("b")), "dst")
-
-
-def graph_vertex(edges: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:
-    """One row: AVI, AVU, ANUI over vertices with an edge, MQ and Q over clusters."""
-    e = _labelled(edges, labels, entity, label)
-    k = labels.select(label).distinct().agg(F.count("*").alias("k"))
-    into = e.groupBy("src", "a", "b").agg(F.sum("w").alias("w"))
-    each = into.groupBy("src").agg(F.sum("w").alias("deg"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0)).alias("own"), F.coalesce(F.max(F.when(F.col("a") != F.col("b"), F.col("w"))), F.lit(0.0)).alias("out")).where("deg > 0")
-    vertex = each.agg(F.coalesce(F.avg(F.col("own") / F.col("deg")), F.lit(0.0)).alias("AVI"), F.coalesce(F.avg(F.col("out") / F.col("deg")), F.lit(0.0)).alias("u"))
-    blocks = e.groupBy("a").agg(F.sum("w").alias("tot"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0)).alias("own"))
-    m2 = blocks.agg(F.sum("tot").alias("m2"))
-    cluster = blocks.crossJoin(m2).agg(F.sum(F.col("own") / F.greatest("tot", F.lit(1e-12))).alias("MQ"), F.sum(F.col("own") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).alias("Q"))
+def _labelled(edges: DataFrame, labels: DataFrame, entity: str, label: str, by: list[str]) -> DataFrame:
+    """Edges without loops, larger weight of both directions, with the labels of both ends. Either frame may lack ``by``."""
+    of_edges, of_labels = [c for c in by if c in edges.columns], [c for c in by if c in labels.columns]
+    both = edges.where("src <> dst").select(*of_edges, "src", "dst", "w")
+    both = both.unionByName(both.select(*of_edges, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy(*of_edges, "src", "dst").agg(F.max("w").alias("w"))
+    ends = [labels.select(*of_labels, F.col(entity).alias(e), F.col(label).alias(c)) for e, c in (("src", "a"), ("dst", "b"))]
+    return both.join(ends[0], [*[c for c in of_labels if c in of_edges], "src"]).join(ends[1], [*of_labels, "dst"])
+
+
+def _met(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    shared = [c for c in by if c in a.columns and c in b.columns]
+    return a.join(b, shared, how) if shared else a.crossJoin(b)
+
+
+def graph_vertex(edges: DataFrame, labels: DataFrame, entity: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each value of ``by`` with an edge: AVI, AVU, ANUI over vertices with an edge, MQ and Q over clusters."""
+    by = by or []
+    e = _labelled(edges, labels, entity, label, by)
+    of_labels = [c for c in by if c in labels.columns]
+    k = labels.select(*of_labels, label).distinct().groupBy(*of_labels).agg(F.count("*").alias("k"))
+    into = e.groupBy(*by, "src", "a", "b").agg(F.sum("w").alias("w"))
+    each = into.groupBy(*by, "src").agg(F.sum("w").alias("deg"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0)).alias("own"), F.coalesce(F.max(F.when(F.col("a") != F.col("b"), F.col("w"))), F.lit(0.0)).alias("out")).where("deg > 0")
+    vertex = each.groupBy(*by).agg(F.coalesce(F.avg(F.col("own") / F.col("deg")), F.lit(0.0)).alias("AVI"), F.coalesce(F.avg(F.col("out") / F.col("deg")), F.lit(0.0)).alias("u"))
+    blocks = e.groupBy(*by, "a").agg(F.sum("w").alias("tot"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0)).alias("own"))
+    m2 = blocks.groupBy(*by).agg(F.sum("tot").alias("m2"))
+    cluster = _met(blocks, m2, by).groupBy(*by).agg(F.sum(F.col("own") / F.greatest("tot", F.lit(1e-12))).alias("MQ"), F.sum(F.col("own") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).alias("Q"))
     avu = F.when(F.col("k") > 1, F.col("u")).otherwise(0.0)
-    return vertex.crossJoin(cluster).crossJoin(k).select("AVI", avu.alias("AVU"), F.when(F.col("AVI") > 0, 1 / (avu + 1 / F.col("AVI"))).otherwise(0.0).alias("ANUI"), F.coalesce("MQ", F.lit(0.0)).alias("MQ"), F.coalesce("Q", F.lit(0.0)).alias("Q"))
+    return _met(_met(vertex, cluster, by), k, by).select(*by, "AVI", avu.alias("AVU"), F.when(F.col("AVI") > 0, 1 / (avu + 1 / F.col("AVI"))).otherwise(0.0).alias("ANUI"), F.coalesce("MQ", F.lit(0.0)).alias("MQ"), F.coalesce("Q", F.lit(0.0)).alias("Q"))
 
 
-def graph_blocks(edges: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:
-    """One row: the same family over pairs of clusters, AVI_ref, AVU_ref, ANUI_ref, MQ_ref."""
-    s = _labelled(edges, labels, entity, label).groupBy("a", "b").agg(F.sum("w").alias("s"))
-    codes = labels.select(F.col(label).alias("a")).distinct()
-    row = s.groupBy("a").agg(F.sum("s").alias("tot"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))), F.lit(0.0)).alias("own"))
-    k = codes.agg(F.count("*").alias("k"))
-    full = codes.join(row, "a", "left")
+def graph_blocks(edges: DataFrame, labels: DataFrame, entity: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each value of ``by`` with an edge: the same family over pairs of clusters, AVI_ref, AVU_ref, ANUI_ref, MQ_ref."""
+    by = by or []
+    s = _labelled(edges, labels, entity, label, by).groupBy(*by, "a", "b").agg(F.sum("w").alias("s"))
+    codes = labels.select(*[c for c in by if c in labels.columns], F.col(label).alias("a")).distinct()
+    row = s.groupBy(*by, "a").agg(F.sum("s").alias("tot"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))), F.lit(0.0)).alias("own"))
+    k = codes.groupBy(*[c for c in by if c in labels.columns]).agg(F.count("*").alias("k"))
     share = F.coalesce(F.try_divide("own", "tot"), F.lit(0.0))
-    own = full.agg(F.avg(share).alias("AVI_ref"), F.sum(share).alias("MQ_ref"))
-    out = row.select("a", (F.col("tot") - F.col("own")).alias("out"))
+    mean = row.groupBy(*by).agg(F.sum(share).alias("MQ_ref"))
+    out = row.select(*by, "a", (F.col("tot") - F.col("own")).alias("out"))
     den = F.col("out") + F.col("inn") - F.col("s")
-    pair = s.where("a <> b").join(out, "a").join(out.select(F.col("a").alias("b"), F.col("out").alias("inn")), "b").agg(F.coalesce(F.sum(F.try_divide(F.col("s"), den)), F.lit(0.0)).alias("p"))
-    avu = F.col("p") / F.col("k")
-    return own.crossJoin(pair).crossJoin(k).select("AVI_ref", avu.alias("AVU_ref"), F.when(F.col("AVI_ref") > 0, 1 / (avu + 1 / F.col("AVI_ref"))).otherwise(0.0).alias("ANUI_ref"), "MQ_ref")
+    pair = s.where("a <> b").join(out, [*by, "a"]).join(out.select(*by, F.col("a").alias("b"), F.col("out").alias("inn")), [*by, "b"]).groupBy(*by).agg(F.sum(F.try_divide(F.col("s"), den)).alias("p"))
+    own = _met(_met(mean, k, by), pair, by, "left").select(*by, F.coalesce("MQ_ref", F.lit(0.0)).alias("MQ_ref"), "k", F.coalesce("p", F.lit(0.0)).alias("p"))
+    avi, avu = F.col("MQ_ref") / F.col("k"), F.col("p") / F.col("k")
+    return own.select(*by, avi.alias("AVI_ref"), avu.alias("AVU_ref"), F.when(avi > 0, 1 / (avu + 1 / avi)).otherwise(0.0).alias("ANUI_ref"), "MQ_ref")
+
+
+def all_indices(df: DataFrame, edges: DataFrame, entity: str, vector: str, label: str, size: int) -> DataFrame:
+    """One row of all twelve indices. Those of features are null unless 1 < K < n."""
+    n = df.agg(F.countDistinct(label).alias("k"), F.count("*").alias("n")).select(((F.col("k") > 1) & (F.col("k") < F.col("n"))).alias("valid"))
+    got = n.crossJoin(silhouette(df, entity, vector, label)).crossJoin(calinski_harabasz(df, vector, label, size)).crossJoin(s_dbw(df, vector, label, size))
+    got = got.select(*[F.when(F.col("valid"), F.col(c)).alias(c) for c in ("SW", "CH", "S_Dbw")])
+    return got.crossJoin(graph_vertex(edges, df, entity, label)).crossJoin(graph_blocks(edges, df, entity, label))
 
 
 def _pairs(n: Column) -> Column:
@@ -136,4 +154,4 @@ def cluster_jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
     return cells.join(ta, a).join(tb, b).groupBy(a).agg(F.coalesce(F.max(F.when(F.col(a) == F.col(b), j)), F.lit(0.0)).alias("same"), F.max(j).alias("best"))
 
 
-__all__ = ["DIRECTION", "adjusted_rand", "calinski_harabasz", "cluster_jaccard", "graph_blocks", "graph_vertex", "normalised_mutual_information", "s_dbw", "silhouette"]
+__all__ = ["DIRECTION", "adjusted_rand", "all_indices", "calinski_harabasz", "cluster_jaccard", "graph_blocks", "graph_vertex", "normalised_mutual_information", "s_dbw", "silhouette"]

@@ -68,23 +68,25 @@ def boosted_cv(df: DataFrame, target: str, columns: list[str], fold: str, k: int
 
 
 def threshold_tree(df: DataFrame, vector: str, size: int, label: str, centers: dict[int, list[float]], steps: int = 97) -> list[tuple]:
-    """Splits (node, coordinate, threshold, mistakes) of a tree with one leaf for each centre: at each node, of the quantile
-    thresholds that part its centres, the one that cuts fewest rows off from their own. Counts are one aggregate a node."""
-    qs = [(i + 1) / (steps + 1) for i in range(steps)]
-    found = df.agg(*[F.percentile(F.col(vector)[i], F.array(*[F.lit(q) for q in qs])).alias(f"q{i}") for i in range(size)]).first()
-    cuts = [sorted(set(found[i])) for i in range(size)]
+    """Splits (node, coordinate, threshold, mistakes) of a tree with one leaf for each centre: at each node, of the thresholds
+    that part its centres, the one with fewest of the node's rows on the other side than their own centre. Thresholds are quantiles
+    of the node's rows, 0.02 to 0.98. A node takes two aggregates."""
+    qs = [0.02 + 0.96 * i / (steps - 1) for i in range(steps)]
     out: list[tuple] = []
 
     def split(node: str, codes: list[int], where: Column) -> None:
         if len(codes) < 2:
             return
+        rows = df.where(where)
+        found = rows.agg(*[F.percentile(F.col(vector)[i], F.array(*[F.lit(q) for q in qs])).alias(f"q{i}") for i in range(size)]).first()
+        cuts = [sorted(set(found[i] or [])) for i in range(size)]
         options = [(i, t) for i in range(size) for t in cuts[i] if 0 < sum(centers[c][i] <= t for c in codes) < len(codes)]
         if not options:
             return
         def wrong(i: int, t: float) -> Column:
-            low = F.col(label).isin([c for c in codes if centers[c][i] <= t])
+            low = F.col(label).isin([c for c in centers if centers[c][i] <= t])
             return F.sum((low != (F.col(vector)[i] <= t)).cast("long"))
-        row = df.where(where & F.col(label).isin(codes)).agg(*[F.coalesce(wrong(i, t), F.lit(0)) for i, t in options]).first()
+        row = rows.agg(*[F.coalesce(wrong(i, t), F.lit(0)) for i, t in options]).first()
         best = min(range(len(options)), key=lambda j: (row[j], options[j]))
         i, t = options[best]
         out.append((node, i, t, row[best]))
@@ -96,6 +98,19 @@ def threshold_tree(df: DataFrame, vector: str, size: int, label: str, centers: d
     return out
 
 
+def tree_type(vector: str, splits: list[tuple], centers: dict[int, list[float]]) -> Column:
+    """The code at the leaf of a ``threshold_tree`` that a row falls into; the lowest where centres could not be parted."""
+    at = {n: (i, t) for n, i, t, _ in splits}
+
+    def leaf(node: str, codes: list[int]) -> Column:
+        if node not in at:
+            return F.lit(codes[0])
+        i, t = at[node]
+        return F.when(F.col(vector)[i] <= t, leaf(f"{node}0", [c for c in codes if centers[c][i] <= t])).otherwise(leaf(f"{node}1", [c for c in codes if centers[c][i] > t]))
+
+    return leaf("", sorted(centers))
+
+
 def planted(spark: SparkSession, n: int, k: int, periods: int, size: int, seed: int, migrants: float = 0.1, event: int = 2, noise: float = 0.6) -> DataFrame:
     """(id, t, x, truth): entities of k types with Gaussian features around type means; from ``event`` on a share of them is of the
     next type. All draws are hashes, so a partition can be made again alone."""

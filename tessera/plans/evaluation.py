@@ -129,7 +129,7 @@ def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.churn(B.types(spark, sf_dir), "tid", "q", "ty"))
 
 
-REPS = 20
+REPS = 200
 _Q = "SELECT replicate, sum(own / m2 - (tot / m2) * (tot / m2)) AS v FROM (SELECT replicate, a, sum(w) AS tot, sum(CASE WHEN a = b THEN w ELSE 0 END) AS own FROM (SELECT x.replicate, e.w, x.label AS a, y.label AS b FROM eg e JOIN pm x ON x.id = e.src JOIN pm y ON y.id = e.dst AND y.replicate = x.replicate) GROUP BY ALL), (SELECT sum(w) AS m2 FROM eg) GROUP BY replicate"
 
 

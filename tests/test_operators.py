@@ -162,6 +162,19 @@ def test_communities_and_rewiring(spark):
     labels = spark.createDataFrame([(i, i // 10, got[i]) for i in range(30)], "id int, a int, b int")
     assert indices.adjusted_rand(labels, "a", "b").first().ARI > 0.8
     assert indices.graph_vertex(e, labels, "id", "b").first().Q > 0.3
+    assert partitions.calibrated(e, 3, rounds=6, ways=4, depth=1) < partitions.calibrated(e, 25, rounds=6, ways=4, depth=1)
+    two = labels.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("id", "v", F.when(F.col("v") == 0, F.col("a")).otherwise(F.col("id") % 2).alias("c"))
+    for f in (indices.graph_vertex, indices.graph_blocks):
+        by = {r.v: r for r in f(e, two, "id", "c", ["v"]).collect()}
+        both = {r.v: r for r in f(e.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))), two, "id", "c", ["v"]).collect()}
+        for v in (0, 1):
+            one = f(e, two.where(f"v = {v}"), "id", "c").first().asDict()
+            assert all(by[v][c] == pytest.approx(x, abs=1e-12) and both[v][c] == pytest.approx(x, abs=1e-12) for c, x in one.items())
+    points = labels.withColumn("x", F.array(F.col("a").cast("double"), (F.col("id") % 7).cast("double")))
+    whole = indices.all_indices(points, e, "id", "x", "a", 2).first()
+    assert set(whole.asDict()) == set(indices.DIRECTION) and whole.SW == pytest.approx(indices.silhouette(points, "id", "x", "a").first().SW)
+    alone = indices.all_indices(points.withColumn("a", F.lit(0)), e, "id", "x", "a", 2).first()
+    assert alone.SW is None and alone.CH is None and alone.S_Dbw is None and alone.AVI == pytest.approx(1.0)
     layers = e.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2))))
     both = partitions.multilayer(layers, "q", 0.5).groupBy("node").agg(F.countDistinct("type").alias("n")).where("n > 1").count()
     assert both <= 3
@@ -205,6 +218,8 @@ def test_threshold_tree_and_planted(spark):
     centers = {k: [2.0 if i == k else 0.0 for i in range(4)] for k in range(3)}
     tree = validation.threshold_tree(rows, "x", 4, "truth", centers, 19)
     assert len(tree) == 2 and sum(m for *_, m in tree) <= 12
+    leaf = rows.select("truth", validation.tree_type("x", tree, centers).alias("leaf")).collect()
+    assert sum(r.truth != r.leaf for r in leaf) <= sum(m for *_, m in tree)
 
 
 def test_within_effects_by_least_squares(spark):
