@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,11 +74,75 @@ def assigned_margin(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("alternative", alt["c"]).withColumn("margin", (alt["d"] - own) / (alt["d"] + own + 1e-12))
 
 
+def assignment(cost: list[list]) -> list[int]:
+    """The column of each row so that columns differ and the sum of costs is least. Rows are taken in one by one, each along the
+    cheapest alternating path, found with prices that keep reduced costs from falling under zero; rows may not outnumber columns.
+    Costs may be whole numbers of any size, so that ties can be broken in them."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    row_price, col_price, holder = [0] * n, [0] * m, [-1] * m
+    for new in range(n):
+        reach: list = [None] * m  # (distance, column before) of each column
+        done, row, at, far = set(), new, -1, 0
+        while True:
+            for j in range(m):
+                if j not in done:
+                    d = far + cost[row][j] - row_price[row] - col_price[j]
+                    if reach[j] is None or d < reach[j][0]:
+                        reach[j] = (d, at)
+            at = min((j for j in range(m) if j not in done), key=lambda j: reach[j][0])
+            far = reach[at][0]
+            if holder[at] < 0:
+                break
+            done.add(at)
+            row = holder[at]
+        row_price[new] += far
+        for j in done:
+            row_price[holder[j]] += far - reach[j][0]
+            col_price[j] -= far - reach[j][0]
+        while at >= 0:
+            before = reach[at][1]
+            holder[at] = holder[before] if before >= 0 else new
+            at = before
+    return [holder.index(i) for i in range(n)]
+
+
+def canonical(labels: DataFrame, entity: str, period: str, label: str, least: float = 0.3) -> DataFrame:
+    """(entity, period, label) with one code for a type through time: a period's types take the codes of the period before by the
+    one-to-one map of the largest sum of Jaccard overlaps; where its overlap is under ``least``, or where there are more types than
+    before, a type gets a new code. Counts of pairs of types by period reach the driver, never entities."""
+    w = Window.partitionBy(entity).orderBy(period)
+    steps = labels.select(entity, F.col(period).alias("p"), F.col(label).alias("c"), F.lag(label).over(w).alias("b"), F.lag(period).over(w).alias("pb"))
+    counts = steps.groupBy("p", "c", "pb", "b").agg(F.count("*").alias("n")).collect()
+    periods = sorted({r.p for r in counts})
+    codes: dict = {}
+    fresh = 0
+    for before, p in zip([None, *periods], periods, strict=False):
+        here = sorted({r.c for r in counts if r.p == p})
+        past = sorted({c for q, c in codes if q == before}, key=lambda c: codes[before, c]) if before is not None else []
+        size = lambda q, c: sum(r.n for r in counts if r.p == q and r.c == c)
+        both = {(r.c, r.b): r.n for r in counts if r.p == p and r.pb == before}
+        j = [[(n := both.get((c, b), 0)) / (size(p, c) + size(before, b) - n) for b in past] + [0.0] * len(here) for c in here]
+        found = assignment([[-x for x in row] for row in j]) if past else [0] * len(here)
+        for i, c in enumerate(here):
+            if p == periods[0]:
+                codes[p, c] = c
+            elif found[i] < len(past) and j[i][found[i]] >= least:
+                codes[p, c] = codes[before, past[found[i]]]
+            else:
+                codes[p, c], fresh = fresh, fresh + 1
+        if p == periods[0]:
+            fresh = max(here) + 1
+    kinds = {c: labels.schema[c].dataType.simpleString() for c in (period, label)}
+    table = labels.sparkSession.createDataFrame([(p, c, n) for (p, c), n in codes.items()], f"{period} {kinds[period]}, {label} {kinds[label]}, code_ int")
+    return labels.join(F.broadcast(table), [period, label]).select(entity, period, F.col("code_").alias(label))
+
+
 def match_labels(pairs: DataFrame, reference: str, candidate: str, k: int) -> DataFrame:
-    """(candidate, reference): the one-to-one map of the largest overlap, the lexicographically first among equals, over all
-    k! maps; the k x k counts reach the driver."""
+    """(candidate, reference): the one-to-one map of the largest overlap, the lexicographically first among equals; the k x k
+    counts reach the driver."""
     counts = {(r[0], r[1]): r[2] for r in pairs.groupBy(reference, candidate).count().collect()}
-    best = max(permutations(range(k)), key=lambda p: (sum(counts.get((p[c], c), 0) for c in range(k)), [-x for x in p]))
+    first = lambda c, p: p * k ** (k - 1 - c)  # noqa: E731  less than one unit of overlap in all
+    best = assignment([[first(c, p) - counts.get((p, c), 0) * k ** (k + 1) for p in range(k)] for c in range(k)])
     return pairs.sparkSession.createDataFrame(list(enumerate(best)), f"{candidate} int, {reference} int")
 
 
