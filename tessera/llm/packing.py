@@ -30,6 +30,8 @@ from .merges import PairTable, merge_rows
 
 #: Tokens of a shard, on average, and of a window.
 SHARD_TOKENS, WINDOW = 1 << 20, 2048
+#: Bytes of text that are encoded at once, and words that an encoder remembers with their ids from one turn to the next.
+TURN, MEMO = 8 << 20, 1 << 18
 K1, B = 1.2, 0.75
 
 
@@ -45,16 +47,33 @@ def _strings(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One value after the other, of ``counts`` items of ``data``."""
+    ends = np.r_[0, np.cumsum(counts * data.itemsize)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of all documents' distinct terms, by document, then by term."""
+    flat, sizes = np.concatenate(docs), [len(d) for d in docs]
+    key, shift = (np.uint32, 16) if flat.itemsize == 2 and len(docs) <= 1 << 16 else (np.uint64, 32)
+    keys = np.repeat(np.arange(len(docs), dtype=key) << key(shift), sizes) | flat.astype(key)
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    own = keys[first]
+    return (own >> key(shift)).astype(np.intp), (own & key((1 << shift) - 1)).astype(flat.dtype), np.diff(np.r_[first, len(keys)])
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and case and splits letters, digits and the rest.
 
     A batch is worked on as arrays: its distinct words (between ASCII white space, which encode alone) are cut into runs
     as the tokenizer's pattern cuts them, the distinct runs are merged by the vocabulary's own table, and words and texts
-    are put together from these. Words with an apostrophe or with characters beyond ASCII that aren't plain letters go to the
+    are put together from these; words of up to LONGEST bytes are remembered, MEMO at most, then those of the last turn. Words with an apostrophe or with characters beyond ASCII that aren't plain letters go to the
     tokenizer whole.
     """
 
-    #: Bytes of the longest run that is merged in arrays.
+    #: Bytes of the longest run that is merged in arrays, and of the longest word that is remembered.
     LONGEST = 48
 
     def __init__(self, spec: str, end_id: int):
@@ -76,6 +95,7 @@ class WordEncoder:
         self.last = np.array([vocabulary[stand[b] + suffix] for b in range(256)], np.int32)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = end_id
+        self.known, self.coded = pa.array([], pa.binary()), pa.array([], pa.binary())
         letter, digit = np.isin(np.arange(256), [*range(97, 123), *range(128, 256)]), np.isin(np.arange(256), range(48, 58))
         self.classes = np.where(letter, 1, np.where(digit, 2, 3)).astype(np.uint8)
 
@@ -168,12 +188,24 @@ class WordEncoder:
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(ends[0], ends[-1] - ends[0]).cast(pa.binary()).dictionary_encode()
         ends = ends - ends[0]
-        ids, starts, counts = self._words(coded.dictionary)
-        ids, starts, counts = np.r_[ids, self.end], np.r_[starts, len(ids)], np.r_[counts, 1]
-        word = np.insert(coded.indices.to_numpy().astype(np.int64), ends[1:], len(starts) - 1)
-        size = counts[word]
-        offsets = np.r_[0, np.cumsum(size)][np.r_[0, ends[1:] + np.arange(1, len(ends))]]
-        return ids[_ragged(starts[word], size)].astype(self.kind), offsets
+        words = coded.dictionary
+        at = pc.index_in(words, self.known)
+        new = words.filter(at.is_null())
+        ids, starts, counts = self._words(new)
+        made = _binary(ids[_ragged(starts, counts)].astype(self.kind), counts)
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        own = pa.concat_arrays([self.coded, made])
+        if len(own) <= MEMO:
+            short = pc.less_equal(pc.binary_length(new), self.LONGEST)
+            self.known, self.coded = pa.concat_arrays([self.known, new.filter(short)]), pa.concat_arrays([self.coded, made.filter(short)])
+        else:
+            some = np.flatnonzero(pc.less_equal(pc.binary_length(words), self.LONGEST).to_numpy(zero_copy_only=False))[:MEMO]
+            self.known, self.coded = words.take(pa.array(some)), own.take(pa.array(at[some]))
+        word = np.insert(at[coded.indices.to_numpy()], ends[1:], len(own))
+        offsets, data = _strings(pa.concat_arrays([own, _binary(np.array([self.end], self.kind), np.array([1]))]).take(pa.array(word)))
+        offsets = offsets[np.r_[0, ends[1:] + np.arange(1, len(ends))]] // np.dtype(self.kind).itemsize
+        return data.view(self.kind)[: offsets[-1]], offsets
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -192,13 +224,22 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     key = (path, end_id)
 
+    def coded(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        doc_id, text = (pa.concat_arrays([b.column(j) for b in some]) for j in (0, 1))
+        ids, offsets = _encoder(key, spec).encode(text)
+        n = np.diff(offsets)
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(n), _binary(ids, n)], ["doc_id", "n_tokens", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
         for b in batches:
-            enc = _encoder(key, spec)
-            ids, offsets = enc.encode(b.column(1))
-            ends = (offsets * ids.itemsize).astype(np.int32)
-            held = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), held], ["doc_id", "n_tokens", "ids"])
+            if some and size + b.nbytes > TURN:
+                yield coded(some)
+                some, size = [], 0
+            some.append(b)
+            size += b.nbytes
+        if some:
+            yield coded(some)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -209,11 +250,14 @@ def document_counts(tokens: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                seen = np.unique(np.frombuffer(x.as_py(), f"<u{width}"))
-                if seen[-1] >= len(total):
-                    total = np.r_[total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)]
-                total[seen] += 1
+            if not b.num_rows:
+                continue
+            n = np.bincount(_terms([np.frombuffer(x.as_py(), f"<u{width}") for x in b.column(0)])[1])
+            if len(n) > len(total):
+                n[: len(total)] += total
+                total = n
+            else:
+                total[: len(n)] += n
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["term", "n"])
 
@@ -246,17 +290,12 @@ class Index:
     """Inverted index with BM25 weights over one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, rows, weights = [], [], []
-        for i, d in enumerate(docs):
-            t, tf = np.unique(d, return_counts=True)
-            terms.append(t)
-            rows.append(np.full(len(t), i, np.int32))
-            weights.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean)))
-        self.of = terms
-        t = np.concatenate(terms)
+        rows, t, tf = _terms(docs)
+        self.of = np.split(t, np.searchsorted(rows, np.arange(1, len(docs))))
+        length = np.array([len(d) for d in docs])
         order = np.argsort(t, kind="stable")
-        self.rows = np.concatenate(rows)[order]
-        self.weights = (np.concatenate(weights) * idf[t])[order]
+        self.rows = rows[order]
+        self.weights = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)[rows]) * idf[t])[order]
         self.starts = np.searchsorted(t[order], np.arange(len(idf) + 1))
         self.n = len(docs)
 

@@ -132,3 +132,29 @@ def test_a_crowd_of_copies_fills_several_shards(spark):
     rows = packing.pack(df, PATH, window=256, shard_tokens=8000, with_ids=False).collect()
     assert sum(r.length for r in rows if r.doc_id == 7) == 600 * ids
     assert len({r.sequence_id >> 32 for r in rows if r.doc_id == 7}) >= 5
+
+
+def test_words_are_merged_once_for_many_batches():
+    """Words of earlier batches come from the memo, which is bounded, and ids stay those of the tokenizer."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    encoder, tokenizer, merged = packing.WordEncoder(spec, 1), Tokenizer.from_str(spec), []
+    words = encoder._words
+    encoder._words = lambda new: merged.extend(new.to_pylist()) or words(new)
+    texts = [["Él paga 2,5 it's naïveté", None, "", "q" * 99], ["it's él 2,5 " + "q" * 99, " \n", "new İstanbul"], ["NEW él 2,5 naïveté"]]
+    for batch in texts:
+        ids, ends = encoder.encode(pa.array(batch, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in batch]
+    again = [w for w in merged if merged.count(w) > 1]
+    assert set(again) <= {b"q" * 99} and len(encoder.known) == len(encoder.coded) == len(set(merged)) - 1
+
+
+def test_terms_of_documents_at_once():
+    rng = np.random.default_rng(9)
+    for kind in (np.uint16, np.uint32, np.int64):
+        docs = [rng.integers(0, 300, n).astype(kind) for n in (1, 700, 3, 40)]
+        rows, terms, times = packing._terms(docs)
+        for i, d in enumerate(docs):
+            want, n = np.unique(d, return_counts=True)
+            assert (terms[rows == i] == want).all() and (times[rows == i] == n).all()
