@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,34 @@ def test_ward_spectral_mixture(spark):
     assert {tuple(sorted(g)) for g in groups} == {tuple(np.flatnonzero(code == c)) for c in range(3)}
 
 
+def test_spectral_without_a_dense_matrix(spark):
+    """The leading vectors of a list of edges are those of the whole matrix, in a part of its memory; so are the types."""
+    rng = np.random.default_rng(8)
+    n, k = 1500, 5
+    x = rng.standard_normal((n, 3)) + 3 * np.eye(3)[np.arange(n) % 3]
+    near = ((x[:, None] - x[None]) ** 2).sum(2).argsort(1)[:, 1:7]
+    key = np.unique(np.r_[(np.arange(n)[:, None] * n + near).ravel(), (near * n + np.arange(n)[:, None]).ravel()])
+    src, dst = key // n, key % n
+    w = 1 / (1e-3 + np.sqrt(((x[src] - x[dst]) ** 2).sum(1)))
+    a = np.zeros((n, n))
+    a[src, dst] = w
+    d = np.sqrt(a.sum(1))
+    want = np.linalg.eigh(a / d[:, None] / d[None, :])[1][:, -k:]
+    tracemalloc.start()
+    got = partitions._leading(src, dst, w, n, k)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.linalg.svd(want.T @ got)[1].min() > 1 - 1e-6 and most < 8 * n * n
+    # More components than vectors: orthonormal, the same direction for all of a component.
+    far = np.repeat(np.arange(0, 600, 2), 2)
+    many = partitions._leading(far + np.tile([0, 1], 300), far + np.tile([1, 0], 300), np.ones(600), 601, k)
+    assert np.allclose(many.T @ many, np.eye(k)) and np.allclose(many[0:600:2], many[1:600:2]) and not many[600].any()
+    nodes = spark.createDataFrame([(0, i) for i in range(n)], "q int, id int")
+    edges = spark.createDataFrame(pd.DataFrame({"q": 0, "src": src, "dst": dst, "w": w}))
+    types = [[r.type for r in partitions.spectral(nodes, edges, "q", "id", k, dense).orderBy("id").collect()] for dense in (0, n)]
+    assert len(types[0]) == n and types[0] == types[1]
+
+
 def test_communities_and_rewiring(spark):
     rng = np.random.default_rng(5)
     pairs = [(i, j) for i in range(30) for j in range(i) if rng.random() < (0.7 if i // 10 == j // 10 else 0.04)]
