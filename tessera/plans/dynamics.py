@@ -41,10 +41,11 @@ def start_end_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.start_end_flow(types(spark, sf_dir), "tid", "q", "ty")
 
 
-def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that ship for one order are neighbours."""
-    i = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return i.alias("a").join(i.alias("b"), "l_orderkey").where("a.l_suppkey <> b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
+def _roads(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """Entities that ship for one order are neighbours; a row for each order that they share unless ``once``."""
+    i = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
+    pairs = i.alias("a").join(i.alias("b"), "l_orderkey").where("a.l_suppkey <> b.l_suppkey").select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst"))
+    return pairs.distinct() if once else pairs
 
 
 @query(

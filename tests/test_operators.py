@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import features, graph, indices, model, panel, partitions, stats, validation
+from tessera.operators import dynamics, features, graph, indices, model, panel, partitions, stats, validation
 
 
 def test_weighted_city_and_gates(spark):
@@ -183,6 +183,22 @@ def test_spectral_without_a_dense_matrix(spark):
     assert len(types[0]) == n and types[0] == types[1]
 
 
+def test_diffusion_of_repeated_edges_in_many_blocks(spark):
+    """Neighbours count once however often their edge comes, and in all blocks of either side."""
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (900, 2)) if a != b], "src long, dst long")
+    labels = spark.createDataFrame([(i, t, int(v)) for i in range(60) for t, v in enumerate(rng.integers(0, 3, 6)) if (i + t) % 7], "id long, t int, ty int")
+    rows = lambda df: sorted(((r["from"], r.to, r.n, round(r.seen, 9), round(r.expected, 9), r.z and round(r.z, 6)) for r in df.collect()), key=str)
+    want = rows(dynamics.diffusion(edges.distinct(), labels, "id", "t", "ty"))
+    assert len(want) == 7 and rows(dynamics.diffusion(edges, labels, "id", "t", "ty")) == want
+    ids = {r.id for r in labels.collect()}
+    have = {(r.id, r.t): r.ty for r in labels.collect()}
+    pairs = {(r.src, r.dst) for r in edges.collect()}
+    for size, right in ((1024, 16384), (16, 16)):
+        got = {(r.src, r.t): list(r.ks) for r in dynamics._neighbour_counts(edges, labels.select(F.col("id").alias("dst"), "t", F.col("ty").alias("to")), "t", "to", [0, 1, 2], size, right).collect()}
+        assert got == {(i, t): k for i in ids for t in range(6) if sum(k := [sum(have.get((b, t)) == v for a, b in pairs if a == i) for v in range(3)])}
+
+
 def test_communities_and_rewiring(spark):
     rng = np.random.default_rng(5)
     pairs = [(i, j) for i in range(30) for j in range(i) if rng.random() < (0.7 if i // 10 == j // 10 else 0.04)]
